@@ -31,7 +31,7 @@ SELECT probe_id, video_id, vec_id FROM (
                             ORDER BY list_dot_product(w.embedding::DOUBLE[], p.embedding::DOUBLE[]) DESC, w.vec_id) AS place
   FROM window_embeddings w CROSS JOIN probes p
   WHERE w.video_id IS NOT NULL AND len(w.embedding) = 64
-    AND len(list_filter(w.embedding, x -> x IS NULL OR isnan(x))) = 0)
+    AND len(list_filter(w.embedding, lambda x: x IS NULL OR isnan(x))) = 0)
 WHERE place <= 4
 """,
 }
