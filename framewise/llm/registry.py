@@ -6,22 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm import tokenise, topn
+from framewise.llm import components, overlap, runs, tokenise, topn
 from framewise.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of videos that must share a split."""
+    return components.tied_pairs(table(spark, sf_dir, "data_input"))
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every row."""
+    return components.grouped_splits(table(spark, sf_dir, "data_input"), table(spark, sf_dir, "split_plan"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 4 best windows of every video for every probe."""
     best = topn.best_windows(table(spark, sf_dir, "window_embeddings"), table(spark, sf_dir, "probes"), 4)
     return best.select("probe_id", "video_id", "vec_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every run of one subtitle line."""
+    return p3_runs(spark, sf_dir).select("seq", "video_id", "first_idx", "first_pos", "last_idx", "last_pos")
+
+
+def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run as one line with count and duration."""
+    return runs.subtitle_runs(table(spark, sf_dir, "frame_subtitles"), table(spark, sf_dir, "window_subtitles"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training row and an evaluation row that are the same record."""
+    return overlap.overlaps(table(spark, sf_dir, "data_input")).select("entry_a", "entry_b")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    return overlap.overlap_report(table(spark, sf_dir, "data_input"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document under byte_bpe_50k."""
     return tokenise.encode_column(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p2_found, p3_found, p3_runs, p5_found, p5_report, p6_ids)
+}
 
 SQL: dict[str, str] = {
     "p2_found": """
