@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm import components, overlap, runs, tokenise, topn
+from framewise.llm import components, neighbours, overlap, runs, tokenise, topn
 from framewise.llm.common import table
 
 
@@ -36,6 +36,12 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.subtitle_runs(table(spark, sf_dir, "frame_subtitles"), table(spark, sf_dir, "window_subtitles"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of embeddings of which one is among the other's 5 most similar."""
+    both = [table(spark, sf_dir, t).select("vec_id", "embedding") for t in ("window_embeddings", "subtitle_embeddings")]
+    return neighbours.similar_pairs(both[0].unionByName(both[1])).select("vec_a", "vec_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training row and an evaluation row that are the same record."""
     return overlap.overlaps(table(spark, sf_dir, "data_input")).select("entry_a", "entry_b")
@@ -53,7 +59,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p3_found, p3_runs, p5_found, p5_report, p6_ids)
+    for f in (p1_found, p1_splits, p2_found, p3_found, p3_runs, p4_found, p5_found, p5_report, p6_ids)
 }
 
 SQL: dict[str, str] = {
