@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewise.llm import components, neighbours, overlap, runs, tokenise, topn
+from framewise.llm import components, neighbours, overlap, packing, runs, sentences, tokenise, topn
 from framewise.llm.common import table
 
 
@@ -57,9 +57,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_column(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.encode_column(table(spark, sf_dir, "documents"), ["doc_id"], sizes_only=True)
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (or piece) for every capacity."""
+    return packing.packing(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_plan"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and space filled per capacity."""
+    return packing.packing_report(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_plan"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every sentence of every document."""
+    return sentences.document_sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p3_found, p3_runs, p4_found, p5_found, p5_report, p6_ids)
+    for f in (p1_found, p1_splits, p2_found, p3_found, p3_runs, p4_found, p5_found, p5_report, p6_ids, p7_packing, p7_report, p8_found)
 }
 
 SQL: dict[str, str] = {
