@@ -1,10 +1,8 @@
-"""Name of every query, what builds it, and the SQL that states its result."""
+"""All queries of the library and the SQL that states their results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from framewise.plans import answers  # noqa: F401
+from framewise.plans.views import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
