@@ -221,12 +221,12 @@ TOOL_TAGS = (("search", "base"), ("search_subtitle", "subtitle"), ("search_summa
 def tag_tool_calls(c: Column, tags: tuple[str, ...] = ("search", "search_subtitle", "search_summary")) -> Column:
     """All tool calls after the last ``</think>`` as structs (query, mode), tag by tag."""
     after = F.element_at(F.split(c, "</think>"), -1)
-    calls = []
-    for tag, mode in TOOL_TAGS:
-        if tag in tags:
-            query = (lambda q: F.lit("summary")) if mode == "summary" else (lambda q: q)
-            calls.append(F.transform(found(after, rf"(?s)<{tag}>(.*?)</{tag}>"), lambda q, query=query, mode=mode: F.struct(query(q).alias("query"), F.lit(mode).alias("mode"))))
-    return F.concat(*calls)
+
+    def of(tag: str, mode: str) -> Column:
+        call = lambda q: F.struct((F.lit("summary") if mode == "summary" else q).alias("query"), F.lit(mode).alias("mode"))
+        return F.transform(found(after, rf"(?s)<{tag}>(.*?)</{tag}>"), call)
+
+    return F.concat(*[of(tag, mode) for tag, mode in TOOL_TAGS if tag in tags])
 
 
 def first_tag_calls(c: Column) -> Column:

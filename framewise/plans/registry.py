@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewise.plans import answers  # noqa: F401
+from framewise.plans import answers, trajectory  # noqa: F401
 from framewise.plans.views import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
