@@ -1,7 +1,7 @@
 """Clustering of a video's frames: k-means, Ward splits and representative picking.
 
-A video is one group of a grouped map; its vectors are bounded by the video's length, not by the number of videos.  A
-group above ``MOST_POINTS`` vectors is first thinned by its own k-means in chunks, so no task holds an unbounded group.
+A video is one group of a grouped map as long as it has at most ``MOST_POINTS`` vectors.  Larger keys are clustered by
+rounds over the whole cluster: nearest centre by a join, means by a combined aggregation; no task holds such a key.
 """
 
 from __future__ import annotations
@@ -54,15 +54,37 @@ def kmeans_per_key(df: DataFrame, k: int, metric: str = "euclidean", seed: int =
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("point")
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        fit = x
-        if len(x) > MOST_POINTS:
-            parts = np.array_split(x, -(-len(x) // MOST_POINTS))
-            fit = np.concatenate([kmeans(p, max(k, MOST_POINTS // len(parts) // 16), metric, seed)[1] for p in parts])
-        centres = kmeans(fit, k, metric, seed)[1]
+        centres = kmeans(x, k, metric, seed)[1]
         d = distances(x, centres, metric)
         return pd.DataFrame({"key": frame["key"], "point": frame["point"], "cluster": d.argmin(1).astype(np.int32), "distance": np.sqrt(np.maximum(d.min(1), 0)).round(6)})
 
-    return df.select("key", "point", "embedding").groupBy("key").applyInPandas(run, "key string, point long, cluster int, distance double")
+    rows = df.select("key", "point", "embedding")
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_POINTS).select("key")
+    out = rows.join(large, "key", "left_anti").groupBy("key").applyInPandas(run, "key string, point long, cluster int, distance double")
+    if large.isEmpty():
+        return out
+    return out.unionByName(kmeans_rounds(rows.join(large, "key", "left_semi"), k))
+
+
+def kmeans_rounds(rows: DataFrame, k: int, dim: int = 64, rounds: int = 15) -> DataFrame:
+    """k-means of keys of any size, a join and an aggregation a round; seeds are the points of least hash."""
+    by_hash = W.partitionBy("key").orderBy(F.xxhash64("point"), "point")
+    seeds = rows.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= k)
+    centres = seeds.select("key", (F.col("nth") - 1).cast("int").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("centre"))
+    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dim)]
+    for turn in range(rounds):
+        near = nearest_of_key(rows, centres)
+        if turn + 1 < rounds:
+            moved = near.groupBy("key", "cluster").agg(*means)
+            centres = moved.select("key", "cluster", F.array(*[F.col(f"m{i}") for i in range(dim)]).alias("centre")).checkpoint()
+    return near.select("key", "point", "cluster", F.round(F.sqrt("d"), 6).alias("distance"))
+
+
+def nearest_of_key(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Every row with the nearest of its key's centres: the centres of a key travel as one row."""
+    packed = centres.groupBy("key").agg(F.array_sort(F.array_agg(F.struct("cluster", "centre"))).alias("cs"))
+    best = F.array_min(F.transform("cs", lambda c: F.struct(vector.squared_distance(F.col("embedding"), c["centre"]).alias("d"), c["cluster"].alias("cluster"))))
+    return rows.join(packed, "key").select("key", "point", "embedding", best.alias("b")).select("key", "point", "embedding", "b.cluster", "b.d")
 
 
 def breadth_expansion(relevance_of, points: int, first: int = 8, most: int = 32, wanted: int = 4) -> int:
