@@ -54,7 +54,8 @@ def read_json_prefix(spark: SparkSession, path: str, schema: T.StructType) -> Da
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
                 items = list(array_items(bytes(content).decode("utf-8", "replace")))
-                yield pd.DataFrame({"path": name, "pos": range(len(items)), "raw": items})
+                if items:
+                    yield pd.DataFrame({"path": [name] * len(items), "pos": range(len(items)), "raw": items})
 
     return files.mapInPandas(run, "path string, pos long, raw string").select("path", "pos", F.from_json("raw", schema).alias("item"))
 
