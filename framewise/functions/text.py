@@ -50,8 +50,7 @@ def normalize_answer(c: Column) -> Column:
 
 def em_check(pred: Column, golds: Column) -> Column:
     """Whether any gold answer equals the prediction after normalisation."""
-    mine = normalize_answer(pred)
-    return F.coalesce(F.exists(golds, lambda g: normalize_answer(g) == mine), F.lit(False))
+    return F.coalesce(F.array_contains(F.transform(golds, normalize_answer), normalize_answer(pred)), F.lit(False))
 
 
 def sub_em_check(pred: Column, golds: Column) -> Column:

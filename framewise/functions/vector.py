@@ -1,4 +1,8 @@
-"""Column functions on embeddings (arrays of float); sums run in double."""
+"""Column functions on embeddings (arrays of float); sums run in double.
+
+Lambdas over arrays are interpreted; for whole tables against many vectors use the matrix product of
+:func:`framewise.operators.retrieval.similarities`, which is several times faster.
+"""
 
 from __future__ import annotations
 

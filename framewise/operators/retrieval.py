@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framewise.functions import vector
 
@@ -19,14 +25,61 @@ def small(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     return F.broadcast(df)
 
 
+def query_matrix(queries: DataFrame, ident: str, vec: str, dim: int, most: int = MOST_QUERIES) -> tuple[list, np.ndarray]:
+    """Ids and vectors of a query table after a check of its size; vectors of another length are left out."""
+    rows = queries.select(ident, vec).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    rows = [r for r in rows if r[1] is not None and len(r[1]) == dim and not any(x is None or x != x for x in r[1])]
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+
+
+def similarities(rows: DataFrame, queries: DataFrame, dim: int = 64, floor: float = 0.0, ident: str = "query_id", vec: str = "query_embedding", digits: int | None = 6) -> DataFrame:
+    """Every row with every query and ``sim``, their cosine: columns of ``rows`` but the embedding, the query's id, sim.
+
+    One matrix product an Arrow batch.  Zero vectors have no similarity (null) unless ``floor`` bounds the norms; unusable
+    embeddings give no rows.
+    """
+    names, matrix = query_matrix(queries, ident, vec, dim)
+    keep = [f for f in rows.schema.fields if f.name != "embedding"]
+    schema = T.StructType([*keep, queries.schema[ident], T.StructField("sim", T.DoubleType())])
+    if not names:
+        return rows.sparkSession.createDataFrame([], schema)
+    lengths = np.linalg.norm(matrix, axis=1)
+    name_type = to_arrow_type(queries.schema[ident].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            right = sizes == dim
+            x = values[np.repeat(right, sizes)].reshape(-1, dim).astype(np.float64)
+            fine = ~np.isnan(x).any(axis=1)
+            place, x = np.flatnonzero(right)[fine], x[fine]
+            own = np.linalg.norm(x, axis=1)
+            step = max(1, 1_000_000 // max(1, len(x)))
+            for k in range(0, len(names), step):
+                scale = np.outer(np.maximum(own, floor), np.maximum(lengths[k : k + step], floor))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim = np.where(scale > 0, (x @ matrix[k : k + step].T) / scale, np.nan).ravel()
+                sim = np.round(sim, digits) if digits is not None else sim
+                m = len(names[k : k + step])
+                at = pa.array(np.repeat(place, m))
+                asked = pa.array(names[k : k + step] * len(place), name_type)
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(at) for f in keep], asked, pa.array(sim, from_pandas=True)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def top_windows(windows: DataFrame, queries: DataFrame, k: int, per_video: bool = True) -> DataFrame:
     """The ``k`` most similar windows per query (and video): query_id, video_id, item, sim, rank.
 
     ``windows`` has video_id, item, embedding; ``queries`` has query_id, query_embedding.  Cosine in double, rounded to 6
     decimals; ties by smaller item.  The rank filter plans to partial and final group limits.
     """
-    good = windows.where(F.col("video_id").isNotNull() & vector.usable(F.col("embedding")))
-    scored = good.crossJoin(small(queries)).select("query_id", "video_id", "item", F.round(vector.cosine(F.col("embedding"), F.col("query_embedding")), 6).alias("sim")).where("sim is not null")
+    good = windows.where(F.col("video_id").isNotNull())
+    scored = similarities(good, queries).select("query_id", "video_id", "item", "sim").where("sim is not null")
     w = W.partitionBy("query_id", *["video_id"] * per_video).orderBy(F.desc("sim"), "item")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -37,8 +90,8 @@ def top_subtitles(subtitles: DataFrame, queries: DataFrame, k: int, size: int =
     ``subtitles`` has video_id, item, windows (first frames), embedding.  The subtitle that reaches ``k`` counts whole,
     so the result may overshoot.
     """
-    good = subtitles.where(F.col("video_id").isNotNull() & vector.usable(F.col("embedding")))
-    scored = good.crossJoin(small(queries)).select("query_id", "video_id", "item", "windows", F.round(vector.cosine(F.col("embedding"), F.col("query_embedding"), 1e-8), 6).alias("sim"))
+    good = subtitles.where(F.col("video_id").isNotNull())
+    scored = similarities(good, queries, floor=1e-8).select("query_id", "video_id", "item", "windows", "sim")
     group = ["query_id", "video_id"]
     placed = scored.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("sim"), "item")))
     firsts = placed.select(*group, "rank", F.explode("windows").alias("frame")).groupBy(*group, F.floor(F.col("frame") / size).cast("int").alias("window")).agg(F.min("rank").alias("first_rank"))
@@ -53,15 +106,16 @@ def proposition_scores(retrieved: DataFrame, propositions: DataFrame, query: str
     A proposition that starts with ``subtitle_`` is 1 if the query text is part of it; others take the best cosine.
     """
     said = F.col("proposition").startswith("subtitle_")
-    rows = retrieved.crossJoin(small(propositions))
-    sim = F.round(vector.cosine(F.col("embedding"), F.col("proposition_embedding")), 6)
-    text = F.when(F.contains(F.col("proposition"), F.col(query)), 1.0).otherwise(0.0)
-    return rows.groupBy("query_id", "proposition").agg(F.max(F.when(said, text).otherwise(sim)).alias("score"))
+    seen = similarities(retrieved.select("query_id", "embedding"), propositions.where(~said), ident="proposition", vec="proposition_embedding").where("sim is not null")
+    looks = seen.groupBy("query_id", "proposition").agg(F.max("sim").alias("score"))
+    asked = retrieved.groupBy("query_id").agg(F.max(query).alias("asked"))
+    text = F.when(F.contains(F.col("proposition"), F.col("asked")), 1.0).otherwise(0.0)
+    return looks.unionByName(asked.crossJoin(small(propositions.where(said).select("proposition"))).select("query_id", "proposition", text.alias("score")))
 
 
 def softmax_labels(clips: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """The ``k`` likeliest labels of every clip by softmax of 100 times the cosine."""
-    scored = clips.crossJoin(small(labels)).select("clip", "label", (vector.cosine(F.col("embedding"), F.col("label_embedding")) * 100).alias("z"))
+    scored = similarities(clips, labels, ident="label", vec="label_embedding", digits=None).select("clip", "label", (F.col("sim") * 100).alias("z"))
     over = W.partitionBy("clip")
     shifted = scored.withColumn("e", F.exp(F.col("z") - F.max("z").over(over)))
     p = shifted.withColumn("p", F.round(F.col("e") / F.sum("e").over(over), 6))

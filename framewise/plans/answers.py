@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions import scoring, text, timeline
-from framewise.operators import answers, dataset
+from framewise.operators import answers, rewards
 from framewise.plans.views import BUCKET, PASS_AT_K, PASSES, QUESTIONS, passes, query, table
 
 
@@ -300,13 +299,13 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 @query(SCORED + " SELECT qid, line, part, supp, CASE WHEN answer IS NULL OR NOT hit THEN 0e0 WHEN opened > 10 THEN 0.25e0 ELSE 1e0 END AS score FROM e")
 def exact_match_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Exact-match reward."""
-    return responses(spark, d).select("qid", "line", "part", "supp", scoring.compute_score(F.col("response"), F.col("golds")).alias("score"))
+    return rewards.exact_match(responses(spark, d)).select("qid", "line", "part", "supp", "score")
 
 
 @query(SCORED + " SELECT qid, line, part, supp, CASE WHEN answer IS NULL OR NOT part_hit THEN 0e0 ELSE 1e0 END AS score FROM e")
 def sub_match_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Substring reward, else the format score of a valid sequence."""
-    return responses(spark, d).select("qid", "line", "part", "supp", scoring.compute_score_subem(F.col("response"), F.col("golds")).alias("score"))
+    return rewards.sub_match(responses(spark, d)).select("qid", "line", "part", "supp", "score")
 
 
 @query(SCORED + """, r AS (SELECT l_orderkey AS qid, count(*) FILTER (WHERE k <> 'summary' AND v > 0.15) + 0.5 * count(*) FILTER (WHERE k = 'summary') AS num, count(*) AS den
@@ -316,9 +315,8 @@ FROM (SELECT *, CASE WHEN NOT hit THEN 0e0 WHEN opened > 10 THEN 0.25e0 ELSE 1e0
 def proposition_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Proposition reward merged over tool calls, mixed with exact match."""
     key = F.when(F.col("l_linenumber") % 4 == 0, "summary").otherwise(F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")))
-    tools = table(spark, d, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_agg(F.create_map(key, F.col("l_quantity") / 100)).alias("rewards"))
-    rows = responses(spark, d).join(tools, "qid", "left").withColumn("rewards", F.coalesce("rewards", F.array().cast("array<map<string,double>>")))
-    return rows.select("qid", "line", "part", "supp", F.round(scoring.compute_score(F.col("response"), F.col("golds"), F.col("rewards"), "puls"), 6).alias("score"))
+    tools = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("qid"), key.alias("key"), (F.col("l_quantity") / 100).alias("value"))
+    return rewards.mixed(responses(spark, d), tools, "qid", "key", "value").select("qid", "line", "part", "supp", F.round("score", 6).alias("score"))
 
 
 @query("""WITH w AS (SELECT doc_id, len(string_split(replace(replace(replace(text, '.', ' '), ',', ' '), chr(10), ' '), ' ')) AS n FROM documents WHERE text IS NOT NULL)
