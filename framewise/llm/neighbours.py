@@ -41,6 +41,8 @@ NEAR_BITS = 29
 NEAR_HALF = 20
 #: Bits of the fixed-size filter that keeps the floats of candidates.
 FILTER_BITS = 1 << 24
+#: Odd factor below 2^31 that spreads 32 bits over the filter without overflow.
+MIX = 0x5E3779B1
 
 
 def learn_rotations(sample: np.ndarray, seed: int = 7, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +81,7 @@ def coder(centre: np.ndarray, turn: np.ndarray):
             unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
             bits = np.packbits(unit @ turn >= centre @ turn, axis=1)
             codes = np.ascontiguousarray(bits).view("<i8").reshape(len(rows), -1)
-            raw = (matrix + 0.0).astype(np.float64)
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in raw), dtype="<i8").reshape(-1, 2)
+            h = content_hashes(matrix)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows)), *[pa.array(np.ascontiguousarray(x)) for x in (h[:, 0], h[:, 1], codes[:, 0], codes[:, 1])]], names=["vec_id", "h1", "h2", "c1", "c2"])
 
     return run
@@ -210,19 +211,38 @@ def candidate_pairs(codes: DataFrame, n: int) -> DataFrame:
     return sent.repartitionById(TABLES << block_bits, F.col("task")).mapInArrow(block_search(bits, block_bits), PAIRS).distinct()
 
 
+def filter_slot(column: str) -> Column:
+    """Place of an integer in the filter; :func:`slot` is the same in numpy."""
+    return F.expr(f"shiftright((({column} ^ shiftrightunsigned({column}, 32)) & 4294967295L) * {MIX}L, 24) & {FILTER_BITS - 1}")
+
+
+def slot(values: np.ndarray) -> np.ndarray:
+    v = values.view(np.uint64)
+    return (((((v ^ (v >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) * np.uint64(MIX)) >> np.uint64(24)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds the hashes of all ids (with some others'), whatever their number."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    """A bit array of fixed size that holds the slots of all ids (and so of some others), whatever their number."""
+    words = ids.select(filter_slot("id").alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
     got = words.toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out
 
 
+def in_filter(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def content_hashes(matrix: np.ndarray) -> np.ndarray:
+    """128-bit hash of every row as two integers; equal vectors (with either zero) have equal hashes."""
+    raw = np.ascontiguousarray(matrix + 0.0, dtype=np.float64)
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), dtype="<i8").reshape(-1, 2)
+
+
 def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.float64).reshape(b.num_rows, -1) for c in ("x", "y"))
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.float32).reshape(b.num_rows, -1).astype(np.float64) for c in ("x", "y"))
         cosine = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) if b.num_rows else np.zeros(0)
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(np.round(cosine, 6))], names=["u", "v", "sim"])
 
@@ -232,8 +252,9 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
 
     ``items`` has vec_id (unique) and embedding.
     """
-    items = items.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
-    n = items.count()
+    items = items.select("vec_id", "embedding")
+    n = items.count()  # of all rows: no column is read for it
+    items = items.where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
     nothing = items.sparkSession.createDataFrame([], "vec_a long, vec_b long, sim double")
     every = max(1, n // SAMPLE)
     picked = items.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE).toArrow()
@@ -249,21 +270,29 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     reps = members.where("nth = 1")
     pairs = cut(candidate_pairs(reps.select("vec_id", "c1", "c2"), reps.count()))
 
-    wanted = id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id")))
-    bits = items.sparkSession.sparkContext.broadcast(wanted)
-    hashed = items.withColumn("at", F.pmod(F.xxhash64("vec_id"), F.lit(FILTER_BITS)))
+    # One more look at the table: the floats of candidates, and the copies beyond the k + 1 smallest ids of crowded groups.
+    crowded = members.where(F.col("nth") == k + 1).select("h1", "h2", F.col("rep").alias("x"), F.col("vec_id").alias("sixth"))
+    any_crowded = not crowded.isEmpty()
+    context = items.sparkSession.sparkContext
+    wanted = context.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id"))))
+    copied = context.broadcast(id_filter(crowded.select(F.col("h1").alias("id")))) if any_crowded else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
         for b in batches:
-            at = b.column("at").to_numpy()
-            hit = np.flatnonzero((table[at >> 6] >> (at & 63)) & 1)
-            if len(hit):
-                part = b.take(pa.array(hit))
-                rows, matrix = usable(part.column("embedding"), dim)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(rows)), pa.array([r.tobytes() for r in matrix], pa.binary())], names=["id", "x"])
-
-    floats = hashed.mapInArrow(keep, "id long, x binary")
+            rows, matrix = usable(b.column("embedding"), dim)
+            near = in_filter(wanted.value, b.column("at").to_numpy()[rows])
+            h = np.zeros((len(rows), 2), dtype=np.int64)
+            more = np.zeros(len(rows), dtype=bool)
+            if copied is not None and len(rows):
+                h = content_hashes(matrix)
+                more = in_filter(copied.value, slot(h[:, 0]))
+            hit = np.flatnonzero(near | more)
+            floats = matrix.astype(np.float32)
+            x = pa.array([floats[i].tobytes() if near[i] else None for i in hit], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows[hit])), x, *[pa.array(h[hit, j], mask=~more[hit]) for j in range(2)]], names=["id", "x", "h1", "h2"])
+
+    seen = cut(items.withColumn("at", filter_slot("vec_id")).mapInArrow(keep, "id long, x binary, h1 long, h2 long"))
+    floats = seen.where("x is not null").select("id", "x")
     scored = (
         pairs.join(floats.select(F.col("id").alias("u"), "x"), "u").join(floats.select(F.col("id").alias("v"), F.col("x").alias("y")), "v")
         .mapInArrow(rerank, "u long, v long, sim double").where(F.col("sim") >= least)
@@ -281,10 +310,8 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     # A distinct vector's list holds for every copy of it; each leaves itself out and takes k.
     owners = lists.join(copies.select(F.col("rep").alias("x"), F.col("member").alias("owner"), "nth"), "x", "left")
     chosen = owners.select(F.coalesce("owner", "x").alias("x"), "y", "sim", "place").where("x <> y")
-    crowded = copies.where(F.col("nth") == k + 1).select(F.col("rep").alias("x"), F.col("member").alias("sixth"))
-    if not crowded.isEmpty():
-        names = members.where("nth = 1").select("h1", "h2", F.col("vec_id").alias("x")).join(crowded, "x")
-        rest = coded.select("vec_id", "h1", "h2").join(names, ["h1", "h2"]).where("vec_id > sixth").select("x", F.col("vec_id").alias("owner"))
+    if any_crowded:
+        rest = seen.where("h1 is not null").select("id", "h1", "h2").join(crowded, ["h1", "h2"]).where("id > sixth").select("x", F.col("id").alias("owner"))
         chosen = chosen.unionByName(lists.join(rest, "x").select(F.col("owner").alias("x"), "y", "sim", "place").where("x <> y"))
     final = W.partitionBy("x").orderBy("place")
     taken = chosen.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
