@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewise.llm.common import cut
 from framewise.llm.normal import line_key, same_words
 
 #: Steps (rows) of one video that one task reads at a time.
@@ -119,7 +120,8 @@ def repeated_lines(rows: DataFrame, span: dict[str, int]) -> DataFrame:
         (F.lead("nth").over(w) - F.col("nth")).alias("n_lines"), "joins", "line", (F.lead("idx").over(w) == END).alias("closes"), step.alias("step"),
     ).where(F.col("first_idx") != END)
     ends = F.col("closes") & (F.col("last_idx") >= (F.col("chunk") + 1) * F.col("step") * CHUNK - F.col("step"))
-    pieces = pieces.withColumn("border", F.col("joins") | ends)
+    # Both branches below read the pieces; written once, the lines are compared once.
+    pieces = cut(pieces.withColumn("border", F.col("joins") | ends).where("border or n_lines >= 2"))
     result = ["seq", "video_id", "first_idx", "first_pos", "last_idx", "last_pos", "n_lines", "step", "line"]
     inner = pieces.where("not border").select(*result)
     over = W.partitionBy("seq", "video_id").orderBy("chunk", "first_idx", "first_pos")
