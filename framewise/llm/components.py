@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewise.llm.common import cut
+from framewise.llm.common import cut, spread
 from framewise.llm.normal import video_key, words_of
 
 
@@ -62,7 +62,7 @@ def record_keys(entries: DataFrame) -> DataFrame:
             asked = [xxhash.xxh3_128_digest(" ".join(w)) if w else None for w in words]
             yield pa.RecordBatch.from_arrays([b.column("entry_id"), pa.array(map(video_key, b.column("video_id").to_pylist()), pa.string()), pa.array(asked, pa.binary())], names=["entry_id", "video", "asked"])
 
-    return entries.select("entry_id", "video_id", "question").mapInArrow(run, "entry_id long, video string, asked binary")
+    return spread(entries.select("entry_id", "video_id", "question")).mapInArrow(run, "entry_id long, video string, asked binary")
 
 
 def video_ties(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import cut
+from framewise.llm.common import cut, spread
 from framewise.llm.normal import asked, choice_set, same_choices, same_words, video_key
 
 #: Codes further apart than this are not compared.
@@ -72,7 +72,7 @@ def prepare(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.rsplit(" ", 1)[0] for x in PREPARED.split(", ")])
 
     full = " and ".join(f"{c} is not null" for c in ("entry_id", "video_id", "question", "options", "split"))
-    return entries.where(full).select("entry_id", "data_source", "video_id", "question", "options", "split").mapInArrow(run, PREPARED)
+    return spread(entries.where(full).select("entry_id", "data_source", "video_id", "question", "options", "split")).mapInArrow(run, PREPARED)
 
 
 def segment(code: Column, k: int) -> Column:

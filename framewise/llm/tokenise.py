@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from framewise.llm.common import spread
+
 #: Folder of the public tokenizer files; a parameter of every operator here.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Words the worker keeps; beyond that it starts afresh.  Only speed depends on it.
@@ -167,7 +169,7 @@ def encode_column(df: DataFrame, keep: list[str], text: str = "text", tokenizer:
             last = pa.array([len(x) for x in lists], pa.int32()) if sizes_only else pa.array(lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], last], names=[*keep, out.name])
 
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return spread(df.select(*keep, *([] if text in keep else [text]))).mapInArrow(run, schema)
 
 
 def decode_column(df: DataFrame, keep: list[str], ids: str = "ids", tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
