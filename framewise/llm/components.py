@@ -23,15 +23,16 @@ from framewise.llm.normal import video_key, words_of
 def label_by_frontier(edges: DataFrame) -> DataFrame:
     """One level: every vertex of ``edges`` (src, dst; both directions) with the label of a seed that reached it."""
     near = edges.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("v"))).alias("low"))
-    labels = cut(near.where(F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("v")) < F.col("low")).select(F.col("src").alias("v"), F.col("src").alias("label")))
-    frontier = labels
-    while True:
+    labels = frontier = cut(near.where(F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("v")) < F.col("low")).select(F.col("src").alias("v"), F.col("src").alias("label")))
+    for turn in range(1, 1_000_000):
         reached = edges.join(frontier, edges.src == frontier.v).groupBy("dst").agg(F.min("label").alias("label"))
-        fresh = cut(reached.select(F.col("dst").alias("v"), "label").join(labels, "v", "left_anti"))
-        if fresh.isEmpty():
+        frontier = cut(reached.select(F.col("dst").alias("v"), "label").join(labels, "v", "left_anti"))
+        if frontier.isEmpty():
             return labels
-        labels = cut(labels.unionByName(fresh))
-        frontier = fresh
+        # The rounds are written ones already; their union is written anew only when it has grown long.
+        labels = labels.unionByName(frontier)
+        labels = cut(labels) if turn % 8 == 0 else labels
+    raise AssertionError("a frontier can't go on for ever")
 
 
 def components(edges: DataFrame) -> DataFrame:
