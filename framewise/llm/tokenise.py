@@ -46,18 +46,20 @@ WITH RECURSIVE step(word, pos, tok, it) AS (
           FROM (SELECT word, pos, tok, it, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step) p
           LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r
         )
-        WHERE least IS NOT NULL
+        WHERE least IS NOT NULL AND it < {steps}
       )
     )
     WINDOW w AS (PARTITION BY word ORDER BY pos)
   )
   WHERE NOT gone
 )
-SELECT word, list(tok ORDER BY pos) AS ids
+SELECT word, list(tok ORDER BY pos) AS ids, max(last) = {steps} AS open
 FROM (SELECT *, max(it) OVER (PARTITION BY word) AS last FROM step)
 WHERE it = last
 GROUP BY word
 """
+#: Contractions of one query; a word that needs more goes into another, so no query holds more states of a word.
+STEPS = 48
 
 DECODE_SQL = """
 SELECT d.row, string_agg(v.hex, '' ORDER BY d.pos) AS hex
@@ -95,6 +97,8 @@ class BpeEncoder:
         self.db.register("loaded", pa.table({"tok": [i for i, _ in spelled], "hex": [h for _, h in spelled]}))
         self.db.execute("CREATE TABLE vocab AS SELECT tok::INT AS tok, hex FROM loaded")
         self.db.unregister("loaded")
+        # Bytes that stand side by side in no token are never merged; words fall apart there.
+        self.joined = {pair for _, h in spelled for b in [bytes.fromhex(h)] for pair in zip(b, b[1:])}
 
     @classmethod
     def at(cls, path: str) -> BpeEncoder:
@@ -102,21 +106,33 @@ class BpeEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def learn(self, words: list[str], rows_at_once: int = 200_000) -> None:
+    def pieces(self, word: str) -> list[bytes]:
+        """Bytes of a word, cut where no token of the vocabulary reaches across."""
+        raw = word.encode("utf-8", "surrogatepass")
+        cuts = [0, *[k for k in range(1, len(raw)) if (raw[k - 1], raw[k]) not in self.joined], len(raw)]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def learn(self, words: list[str], rows_at_once: int = 100_000) -> None:
         """Encode words by the recursive query and remember them."""
-        word, pos, tok, first = [], [], [], 0
-        for k, w in enumerate(words):
-            ids = [self.byte_ids[b] for b in w.encode("utf-8", "surrogatepass")]
-            word += [k - first] * len(ids)
-            pos += range(len(ids))
-            tok += ids
-            if len(tok) >= rows_at_once or k + 1 == len(words):
-                self.db.register("start", pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())}))
-                got = self.db.execute(MERGE_SQL).fetchall()
+        parts = {w: self.pieces(w) for w in words}
+        fresh = sorted({p for ps in parts.values() for p in ps})
+        done: dict[bytes, list[int]] = {}
+        begin = 0
+        while begin < len(fresh):
+            end, size = begin, 0
+            while end < len(fresh) and (end == begin or size + len(fresh[end]) <= rows_at_once):
+                size += len(fresh[end])
+                end += 1
+            state = {k: [self.byte_ids[b] for b in fresh[k]] for k in range(begin, end)}
+            while state:
+                self.db.register("start", pa.table({"word": pa.array([k for k, t in state.items() for _ in t], pa.int32()), "pos": pa.array([i for t in state.values() for i in range(len(t))], pa.int32()), "tok": pa.array([x for t in state.values() for x in t], pa.int32())}))
+                got = self.db.execute(MERGE_SQL.format(steps=STEPS)).fetchall()
                 self.db.unregister("start")
-                for n, ids in got:
-                    self.known[words[first + n]] = ids
-                word, pos, tok, first = [], [], [], k + 1
+                state = {k: ids for k, ids, unfinished in got if unfinished}
+                done |= {fresh[k]: ids for k, ids, unfinished in got if not unfinished}
+            begin = end
+        for w, ps in parts.items():
+            self.known[w] = done[ps[0]] if len(ps) == 1 else [i for p in ps for i in done[p]]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.find(t) if t else [] for t in texts]

@@ -36,3 +36,14 @@ def test_empty_table(spark):
 @given(st.text(max_size=60))
 def test_any_text(other, text):
     assert tokenise.BpeEncoder.at(PATH).encode([text])[0] == other.encode_ordinary(text)
+
+
+def test_long_words_without_breaks(other, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlu", k=4_000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), "ab" * 20_000]
+    assert tokenise.BpeEncoder.at(PATH).encode(words) == [other.encode_ordinary(w) for w in words]
+    monkeypatch.setattr(tokenise, "STEPS", 2)
+    fresh = tokenise.BpeEncoder(PATH)
+    assert fresh.encode(words[:1]) == [other.encode_ordinary(words[0])]
