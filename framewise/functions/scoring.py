@@ -12,8 +12,16 @@ from framewise.functions.text import count_answer_tags, em_check, extract_soluti
 EM_WEIGHT, PULS_WEIGHT, PULS_THRESHOLD = 1.0, 0.5, 0.15
 
 
-def pass_at_k(n: Column, c: Column, k: Column) -> Column:
-    """Chance that k of n passes, c of them right, hold a right one; 0 for n < k or empty cases."""
+def pass_at_k(n: Column, c: Column, k: Column | int) -> Column:
+    """Chance that k of n passes, c of them right, hold a right one; 0 for n < k or empty cases.
+
+    A constant ``k`` is spelled out as a product, which stays in generated code.
+    """
+    if isinstance(k, int):
+        miss = F.lit(1.0)
+        for i in range(k):
+            miss = miss * (n - c - i) / (n - i)
+        return F.lit(0.0) if k <= 0 else F.when((n < k) | (n <= 0), 0.0).when(n - c < k, 1.0).otherwise(F.lit(1.0) - miss)
     miss = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), F.lit(1.0), lambda p, i: p * (n - c - i) / (n - i))
     return F.when((n < k) | (n <= 0) | (k <= 0), F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(F.lit(1.0) - miss)
 

@@ -50,7 +50,7 @@ def capped_pass_table(passes: DataFrame, keys: list[str], cap: int = 4) -> DataF
     """pass@k of the first ``cap`` passes for k up to ``cap``, the mean share of right ones, and the number of questions."""
     q = question_table(passes, ["qid", *keys], cap)
     n, c = F.col("n"), F.col("c")
-    ks = [F.avg(F.when(n >= k, pass_at_k(n, c, F.lit(k)))).alias(f"pass_{k}") for k in (1, 2, 4) if k <= cap]
+    ks = [F.avg(F.when(n >= k, pass_at_k(n, c, k))).alias(f"pass_{k}") for k in (1, 2, 4) if k <= cap]
     return q.groupBy(*keys).agg(*ks, F.avg(c / F.lit(float(cap))).alias(f"average_{cap}"), F.count("*").alias("num_samples"))
 
 

@@ -22,7 +22,7 @@ round(avg({PASS_AT_K.format(k=4)}), 6) AS pass_4, round(avg(CASE WHEN vote = gt
 def pass_at_k_by_length(spark: SparkSession, d: str) -> DataFrame:
     """Parse, vote, join durations, bucket, roll up."""
     q = questions(spark, d)
-    k = lambda x: F.round(F.avg(scoring.pass_at_k(F.col("n"), F.col("c"), F.lit(x))), 6).alias(f"pass_{x}")
+    k = lambda x: F.round(F.avg(scoring.pass_at_k(F.col("n"), F.col("c"), x)), 6).alias(f"pass_{x}")
     return q.groupBy(timeline.length_bucket(F.col("duration")).alias("bucket")).agg(F.count("*").alias("questions"), k(1), k(2), k(4), F.round(answers.share(F.col("vote_right")), 6).alias("vote_accuracy"))
 
 
@@ -293,19 +293,19 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), line.alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "l_quantity", F.when(line % 6 == 0, F.concat(F.lit("no tag "), "l_returnflag")).otherwise(body).alias("response"))
     status = F.col("o_orderstatus")
     golds = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.array(F.concat(F.lit("A"), F.lower(status)), status, F.when(status == "F", "A").when(status == "O", "N").otherwise("R")).alias("golds"))
-    return lines.join(golds, "qid")
+    return lines.join(golds.withColumn("golds", rewards.normalized(F.col("golds"))), "qid")
 
 
 @query(SCORED + " SELECT qid, line, part, supp, CASE WHEN answer IS NULL OR NOT hit THEN 0e0 WHEN opened > 10 THEN 0.25e0 ELSE 1e0 END AS score FROM e")
 def exact_match_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Exact-match reward."""
-    return rewards.exact_match(responses(spark, d)).select("qid", "line", "part", "supp", "score")
+    return rewards.exact_match(responses(spark, d), normal=True).select("qid", "line", "part", "supp", "score")
 
 
 @query(SCORED + " SELECT qid, line, part, supp, CASE WHEN answer IS NULL OR NOT part_hit THEN 0e0 ELSE 1e0 END AS score FROM e")
 def sub_match_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Substring reward, else the format score of a valid sequence."""
-    return rewards.sub_match(responses(spark, d)).select("qid", "line", "part", "supp", "score")
+    return rewards.sub_match(responses(spark, d), normal=True).select("qid", "line", "part", "supp", "score")
 
 
 @query(SCORED + """, r AS (SELECT l_orderkey AS qid, count(*) FILTER (WHERE k <> 'summary' AND v > 0.15) + 0.5 * count(*) FILTER (WHERE k = 'summary') AS num, count(*) AS den
@@ -316,7 +316,7 @@ def proposition_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Proposition reward merged over tool calls, mixed with exact match."""
     key = F.when(F.col("l_linenumber") % 4 == 0, "summary").otherwise(F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")))
     tools = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("qid"), key.alias("key"), (F.col("l_quantity") / 100).alias("value"))
-    return rewards.mixed(responses(spark, d), tools, "qid", "key", "value").select("qid", "line", "part", "supp", F.round("score", 6).alias("score"))
+    return rewards.mixed(responses(spark, d), tools, "qid", "key", "value", normal=True).select("qid", "line", "part", "supp", F.round("score", 6).alias("score"))
 
 
 @query("""WITH w AS (SELECT doc_id, len(string_split(replace(replace(replace(text, '.', ' '), ',', ' '), chr(10), ' '), ' ')) AS n FROM documents WHERE text IS NOT NULL)
