@@ -28,7 +28,10 @@ RADIUS = 9
 #: One more segment than the radius, so one of them is equal (pigeonhole).
 BLOCKS = RADIUS + 1
 
-PREPARED = "entry_id long, data_source string, side string, cls binary, place long, code long, video string, question array<string>, options array<array<string>>"
+#: Between choices; words never hold it.
+CHOICE = "\x1f"
+
+PREPARED = "entry_id long, data_source string, side string, cls binary, place long, code long, question string, options string"
 
 
 def features(question: list[str], options: list[tuple[str, ...]]) -> list[str]:
@@ -64,12 +67,12 @@ def prepare(entries: DataFrame) -> DataFrame:
                 if not (video and question and options and side):
                     continue
                 numbers = " ".join(w for w in question if w.isdecimal())
-                text = "\x1f".join([video, " ".join(question), *(" ".join(c) for c in options)])
+                text = CHOICE.join([video, " ".join(question), *(" ".join(c) for c in options)])
                 place = xxhash.xxh3_64_intdigest(f"{video} {numbers}") - 2**63
-                rows.append((r["entry_id"], r["data_source"], side, xxhash.xxh3_128_digest(text), place, similarity_code(features(question, options), known), video, question, [list(c) for c in options]))
-            cols = list(zip(*rows)) if rows else [[]] * 9
-            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.rsplit(" ", 1)[0] for x in PREPARED.split(", ")])
+                rows.append((r["entry_id"], r["data_source"], side, xxhash.xxh3_128_digest(text), place, similarity_code(features(question, options), known), " ".join(question), CHOICE.join(" ".join(c) for c in options)))
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PREPARED.split(", ")])
 
     full = " and ".join(f"{c} is not null" for c in ("entry_id", "video_id", "question", "options", "split"))
     return spread(entries.where(full).select("entry_id", "data_source", "video_id", "question", "options", "split")).mapInArrow(run, PREPARED)
@@ -83,7 +86,8 @@ def segment(code: Column, k: int) -> Column:
 def same_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         q1, q2, o1, o2 = (b.column(c).to_pylist() for c in ("question_a", "question_b", "options_a", "options_b"))
-        good = [same_words(x, y) and same_choices([tuple(c) for c in u], [tuple(c) for c in v]) for x, y, u, v in zip(q1, q2, o1, o2)]
+        choices = lambda t: [tuple(c.split(" ")) for c in t.split(CHOICE)]
+        good = [same_words(x.split(" "), y.split(" ")) and same_choices(choices(u), choices(v)) for x, y, u, v in zip(q1, q2, o1, o2)]
         yield b.select(["cls_a", "cls_b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -95,7 +99,9 @@ def overlaps(entries: DataFrame, train: str = "train") -> DataFrame:
     rows = cut(prepare(entries))
     learns = F.col("side") == train
     classes = cut(rows.groupBy("cls").agg(F.first("place").alias("place"), F.first("code").alias("code"), F.max(learns).alias("learns"), F.max(~learns).alias("tests")))
-    blocks = classes.select("cls", "place", "code", "learns", "tests", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("code"), k).alias("s")) for k in range(BLOCKS)])).alias("b"))
+    # Only places with two texts or more, of both sides, can hold a pair; most hold one.
+    useful = classes.groupBy("place").agg(F.count("*").alias("n"), F.max("learns").alias("l"), F.max("tests").alias("t")).where("n > 1 and l and t").select("place")
+    blocks = classes.join(useful, "place", "left_semi").select("cls", "place", "code", "learns", "tests", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("code"), k).alias("s")) for k in range(BLOCKS)])).alias("b"))
     keyed = blocks.select("cls", "code", "learns", "tests", "place", "b.k", "b.s")
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.code").bitwiseXOR(F.col("b.code"))
