@@ -258,6 +258,7 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     nothing = items.sparkSession.createDataFrame([], "vec_a long, vec_b long, sim double")
     every = max(1, n // SAMPLE)
     picked = items.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE).toArrow()
+    picked = picked.sort_by("vec_id")  # so that the rotations don't depend on the order of arrival
     sample = usable(picked["embedding"].combine_chunks(), dim)[1] if picked.num_rows else np.zeros((0, dim))
     if len(sample) < 2:
         sample = np.random.default_rng(5).normal(size=(256, dim))
