@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewise.llm.common import cut, vectors
+from framewise.llm.common import cut, stored, vectors
 
 CODE_BITS = 128
 TABLES = 5
@@ -267,7 +267,7 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     centre, turn = learn_rotations(sample)
     coded = items.mapInArrow(coder(centre, turn), CODED)
     w = W.partitionBy("h1", "h2").orderBy("vec_id")
-    members = cut(coded.withColumn("nth", F.row_number().over(w)).withColumn("rep", F.first("vec_id").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("nth") <= k + 1))
+    members = stored(coded.withColumn("nth", F.row_number().over(w)).withColumn("rep", F.first("vec_id").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("nth") <= k + 1))
     reps = members.where("nth = 1")
     pairs = cut(candidate_pairs(reps.select("vec_id", "c1", "c2"), reps.count()))
 
@@ -292,7 +292,7 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
             x = pa.array([floats[i].tobytes() if near[i] else None for i in hit], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows[hit])), x, *[pa.array(h[hit, j], mask=~more[hit]) for j in range(2)]], names=["id", "x", "h1", "h2"])
 
-    seen = cut(items.withColumn("at", filter_slot("vec_id")).mapInArrow(keep, "id long, x binary, h1 long, h2 long"))
+    seen = stored(items.withColumn("at", filter_slot("vec_id")).mapInArrow(keep, "id long, x binary, h1 long, h2 long"))
     floats = seen.where("x is not null").select("id", "x")
     scored = (
         pairs.join(floats.select(F.col("id").alias("u"), "x"), "u").join(floats.select(F.col("id").alias("v"), F.col("x").alias("y")), "v")
