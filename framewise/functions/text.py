@@ -136,7 +136,8 @@ def char_after_anchor(c: Column, anchor: str) -> Column:
 
 def prediction_index(c: Column) -> Column:
     """``prediction: X`` as 0 to 4; 0 when absent."""
-    return F.coalesce(letter_index(F.upper(first_of(c, r"(?i)prediction: ([A-E])"))), F.lit(0))
+    letter = F.upper(first_of(c, r"(?i)prediction: ([A-E])"))
+    return F.when(letter.isNull(), 0).otherwise(letter_index(letter))
 
 
 def int_list(text: Column) -> Column:
