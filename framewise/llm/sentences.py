@@ -51,19 +51,32 @@ CASELESS = regex.compile(r"[\p{Arabic}\p{Devanagari}\p{Thai}\p{Hebrew}\p{Han}\p{
 LABEL = regex.compile(r"(?:[-–—•*]\s*)?[(\[]?(?:\p{L}|\d{1,3})[)\]]?$")
 STOPPED = regex.compile(r"(?<![\p{L}\p{N}._-])(\p{L}[\p{L}\p{M}.-]{0,8})\.(?=[,;:]|\s+(?P<next>[\p{L}\p{N}]+))")
 CAPITAL = regex.compile(r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: A word that is not the end of something longer and has no stop.
+PLAIN = regex.compile(r"(?<![\p{L}\p{N}._-])\p{L}[\p{L}\p{M}-]*+(?!\.)")
 
 
 def evidence(text: str) -> tuple[dict[str, list[int]], set[str]]:
-    """Of one text: per word with a stop [places where the sentence surely goes on, places where a capital follows]; and its names."""
+    """Of one text: per word with a stop [places where the sentence surely goes on, places where a capital follows that
+    is no name, places of the first before a small letter or a sign]; and its names."""
     stopped: dict[str, list[int]] = {}
     names: set[str] = set()
+    before: list[tuple[list[int], str]] = []
     for block in BLANK.split(text):
         if not CASED.search(block):
             continue
         for m in STOPPED.finditer(block):
-            seen = stopped.setdefault(m[1].casefold(), [0, 0])
-            seen[bool(m["next"] and CASED.match(m["next"]))] += 1
+            seen = stopped.setdefault(m[1].casefold(), [0, 0, 0])
+            if m["next"] and CASED.match(m["next"]):
+                before.append((seen, m["next"].casefold()))
+            else:
+                seen[0] += 1
+                seen[2] += not m["next"] or bool(SMALL.match(m["next"]))
         names.update(m[0].casefold() for m in CAPITAL.finditer(block))
+    if names:
+        names -= {w.casefold() for w in WORD.findall(text) if SMALL.match(w)}
+    for seen, word in before:
+        seen[1] += word not in names
     return stopped, names
 
 
@@ -71,7 +84,7 @@ class Judge:
     """What a document and the corpus know about abbreviations and names."""
 
     def __init__(self, text: str, corpus: set[str]) -> None:
-        self.text, self.corpus, self.read = text, corpus, None
+        self.text, self.corpus, self.read, self.plain = text, corpus, None, None
 
     def abbreviation(self, word: str) -> str:
         """``leading``, ``trailing`` or nothing."""
@@ -84,11 +97,26 @@ class Judge:
             return ""
         if self.read is None:
             self.read = evidence(self.text)
-        on, capital = self.read[0].get(word, (0, 0))
+        on, capital, _ = self.read[0].get(word, (0, 0, 0))
         if on:
             return "trailing" if on >= capital else ""
         return "trailing" if word in self.corpus else ""
 
+    def stands_before_name(self, word: str, follow: str) -> bool:
+        """Whether ``word`` is learned as an abbreviation and ``follow``, with a capital, is a name of this document.
+
+        The document decides: it writes the word with a stop before small letters or signs, and not as a plain word as
+        well.  Where it has no such place, the corpus does.
+        """
+        word = word.casefold().strip(".")
+        if word in TRAILING or self.abbreviation(word) != "trailing" or not self.name(follow):
+            return False
+        if self.plain is None:
+            self.plain = {w.casefold() for w in PLAIN.findall(self.text)}
+        if word in self.plain:
+            return False
+        return self.read[0].get(word, (0, 0, 0))[2] > 0 or word in self.corpus
+
     def name(self, word: str) -> bool:
         if self.read is None:
             self.read = evidence(self.text)
@@ -244,7 +272,7 @@ def block_breaks(block: str, judge: Judge) -> list[int]:
             end(k)
             continue
         if upper:
-            if not ordinal:
+            if not ordinal and not (kind == "trailing" and judge.stands_before_name(core, WORD.match(block, lead.end())[0])):
                 end(k)
             continue
         if nxt.isdigit() and kind and core.casefold() not in ("a.m", "p.m", "etc", "usw"):
@@ -285,7 +313,7 @@ def corpus_abbreviations(documents: DataFrame) -> set[str]:
         held: dict[str, list[int]] = {}
         for b in batches:
             for text in b.column("text").to_pylist():
-                for w, (on, capital) in evidence(text or "")[0].items():
+                for w, (on, capital, _) in evidence(text or "")[0].items():
                     seen = held.setdefault(w, [0, 0])
                     seen[0] += on
                     seen[1] += capital

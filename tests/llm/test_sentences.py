@@ -48,6 +48,17 @@ def test_document_evidence_settles_unknown_abbreviations():
     assert [text[a:b] for a, b in sentences.sentences(text)] == ["Look at qrst. 5 and qrst. seven.", "The qrst. 9 is old."]
 
 
+def test_document_evidence_joins_unknown_abbreviations_and_names():
+    seen = "We asked the qrst. about it, and the qrst. was late, as Velm had said."
+    for last in (["Then qrst. Velm came.", "He left."], ["Then the qrst.", "He left Velm."], ["Velm saw the barn.", "Velm left."]):
+        text = " ".join([seen, *last])
+        assert [text[a:b] for a, b in sentences.sentences(text)] == [seen, *last]
+    text = "So the qrst. and Velm met. Then qrst. Velm saw a velm."
+    assert len(sentences.sentences(text)) == 3
+    text = "He saw Velm. Then qrst. Velm came."
+    assert len(sentences.sentences(text)) == 3 and len(sentences.sentences(text, {"qrst"})) == 2
+
+
 def test_table_forms(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "Yes. No."), (5, "x" * 50_000)], "doc_id long, text string")
     assert sorted(tuple(r) for r in sentences.document_sentences(df).collect()) == [(4, 0, 4), (4, 5, 8), (5, 0, 50_000)]
