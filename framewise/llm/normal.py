@@ -106,6 +106,11 @@ def same_word(a: str, b: str) -> bool:
     return distance(a, b, 2) <= (2 if short >= LONG_WORD else 1)
 
 
+def frame(words: tuple[str, ...] | list[str]) -> str:
+    """What slips leave of a list of words: lists that :func:`same_words` accepts have equal frames."""
+    return " ".join("*" if len(w) >= LONG_WORD - 1 and SPELLED.fullmatch(w) else w for w in words)
+
+
 def same_words(a: tuple[str, ...] | list[str], b: tuple[str, ...] | list[str]) -> bool:
     return a == b or len(a) == len(b) and all(x == y or same_word(x, y) for x, y in zip(a, b))
 

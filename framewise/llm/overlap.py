@@ -2,8 +2,10 @@
 
 Similarity-hash fingerprints: every distinct record text gets a 64-bit code; the code is cut into ``BLOCKS`` segments,
 so two codes at most ``RADIUS`` bits apart share a segment.  Segments are joined across splits within one video and
-one sequence of numbers (both must be equal anyway), candidates beyond the radius are dropped by their codes, and the
-texts of the rest are compared.  Rows with the same text form one class first, so copies meet once, not in pairs.
+one sequence of numbers (both must be equal anyway), and the texts of candidates within the radius are compared.  Pairs
+beyond the radius, short records with several slips, meet by their frames: the words that no slip may change, with a
+place for each of the others.  Records that are the same have equal frames, so none is lost whatever the radius.  Rows
+with the same text form one class first, so copies meet once, not in pairs.
 
 Two records are the same if their questions have the same words and numbers in order, and their choices pair off, apart
 from notation, lead-ins, number words and slips in longer words.  Rows with a null video, question, options or split
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm.common import cut, spread
-from framewise.llm.normal import asked, choice_set, same_choices, same_words, video_key
+from framewise.llm.normal import asked, choice_set, frame, same_choices, same_words, video_key
 
-#: Codes further apart than this are not compared.
+#: Codes further apart than this meet by their frames only.
 RADIUS = 9
 #: One more segment than the radius, so one of them is equal (pigeonhole).
 BLOCKS = RADIUS + 1
@@ -31,7 +33,7 @@ BLOCKS = RADIUS + 1
 #: Between choices; words never hold it.
 CHOICE = "\x1f"
 
-PREPARED = "entry_id long, data_source string, side string, cls binary, place long, code long, question string, options string"
+PREPARED = "entry_id long, data_source string, side string, cls binary, place long, code long, frame long, question string, options string"
 
 
 def features(question: list[str], options: list[tuple[str, ...]]) -> list[str]:
@@ -55,7 +57,7 @@ def similarity_code(found: list[str], known: dict[str, np.ndarray]) -> int:
 
 
 def prepare(entries: DataFrame) -> DataFrame:
-    """Normalised rows: ``cls`` names the text, ``place`` the video and numbers, ``code`` is the similarity hash."""
+    """Normalised rows: ``cls`` names the text, ``place`` the video and numbers, ``code`` is the similarity hash, ``frame`` hashes what slips leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -69,9 +71,10 @@ def prepare(entries: DataFrame) -> DataFrame:
                 numbers = " ".join(w for w in question if w.isdecimal())
                 text = CHOICE.join([video, " ".join(question), *(" ".join(c) for c in options)])
                 place = xxhash.xxh3_64_intdigest(f"{video} {numbers}") - 2**63
-                rows.append((r["entry_id"], r["data_source"], side, xxhash.xxh3_128_digest(text), place, similarity_code(features(question, options), known), " ".join(question), CHOICE.join(" ".join(c) for c in options)))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                left = CHOICE.join([frame(question), *sorted(frame(c) for c in options)])
+                rows.append((r["entry_id"], r["data_source"], side, xxhash.xxh3_128_digest(text), place, similarity_code(features(question, options), known), xxhash.xxh3_64_intdigest(left) - 2**63, " ".join(question), CHOICE.join(" ".join(c) for c in options)))
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PREPARED.split(", ")])
 
     full = " and ".join(f"{c} is not null" for c in ("entry_id", "video_id", "question", "options", "split"))
@@ -98,23 +101,31 @@ def overlaps(entries: DataFrame, train: str = "train") -> DataFrame:
     """
     rows = cut(prepare(entries))
     learns = F.col("side") == train
-    classes = cut(rows.groupBy("cls").agg(F.first("place").alias("place"), F.first("code").alias("code"), F.max(learns).alias("learns"), F.max(~learns).alias("tests")))
+    classes = cut(rows.groupBy("cls").agg(F.first("place").alias("place"), F.first("code").alias("code"), F.first("frame").alias("frame"), F.max(learns).alias("learns"), F.max(~learns).alias("tests")))
     # Only places with two texts or more, of both sides, can hold a pair; most hold one.
     useful = classes.groupBy("place").agg(F.count("*").alias("n"), F.max("learns").alias("l"), F.max("tests").alias("t")).where("n > 1 and l and t").select("place")
-    blocks = classes.join(useful, "place", "left_semi").select("cls", "place", "code", "learns", "tests", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("code"), k).alias("s")) for k in range(BLOCKS)])).alias("b"))
+    kept = classes.join(useful, "place", "left_semi")
+    blocks = kept.select("cls", "place", "code", "learns", "tests", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("code"), k).alias("s")) for k in range(BLOCKS)])).alias("b"))
     keyed = blocks.select("cls", "code", "learns", "tests", "place", "b.k", "b.s")
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = F.col("a.code").bitwiseXOR(F.col("b.code"))
     earlier = F.lit(False)
     for k in range(BLOCKS - 1):
         earlier = earlier | ((F.col("a.k") > k) & (segment(differ, k) == 0))
+    crossed = (F.col("a.learns") & F.col("b.tests")) | (F.col("a.tests") & F.col("b.learns"))
+    both = [F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")]
     met = (
         a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls")))
-        .where((F.col("a.learns") & F.col("b.tests")) | (F.col("a.tests") & F.col("b.learns")))
-        .where((F.bit_count(differ) <= RADIUS) & ~earlier)
-        .select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+        .where(crossed & (F.bit_count(differ) <= RADIUS) & ~earlier)
+        .select(*both)
     )
-    met = cut(met)
+    a, b = kept.alias("a"), kept.alias("b")
+    beyond = (
+        a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cls") < F.col("b.cls")))
+        .where(crossed & (F.bit_count(differ) > RADIUS))
+        .select(*both)
+    )
+    met = cut(met.unionByName(beyond))
     ends = met.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     texts = rows.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("question").alias("question"), F.first("options").alias("options"))
     side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in texts.columns])

@@ -18,6 +18,19 @@ def test_same_records_across_splits(spark):
     assert report == {("test", "b"): (2, 1), ("validation", "a"): (2, 1)}
 
 
+def test_short_records_with_several_slips_are_found(spark):
+    import itertools
+
+    words, slips = ["juggler", "lantern", "campsite", "barrel"], ["jugglre", "lnatern", "campsiet", "barrle"]
+    change = lambda on: " ".join(s if k in on else w for k, (w, s) in enumerate(zip(words, slips)))
+    rows, want = [], set()
+    for k, on in enumerate(itertools.chain.from_iterable(itertools.combinations(range(4), n) for n in range(1, 5))):
+        video = str(k + 1)
+        rows += [(2 * k, "a", video, change(()), '["whistle", "trumpet"]', "train", ""), (2 * k + 1, "a", video, change(on), '["trumpte", "whislte"]', "test", "")]
+        want.add((2 * k, 2 * k + 1))
+    assert {(r.entry_a, r.entry_b) for r in overlap.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_empty(spark):
     assert overlap.overlaps(spark.createDataFrame([], SCHEMA)).collect() == []
 
