@@ -125,12 +125,19 @@ def substring_join(big: DataFrame, text: str, small: DataFrame, part: str, most:
 
 
 def fuzzy_match(wanted: DataFrame, files: DataFrame, key: str, name: str) -> DataFrame:
-    """File of each key: equal normalised name first, else the first (by name) that contains the key."""
+    """File of each key: equal normalised name first, else the first (by name) that contains the key.
+
+    Names are joined by equality on their parts of the lengths that keys have, each part with its first name, so any
+    number of keys and files goes the same way; only the lengths are broadcast.
+    """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     w, f = wanted.select(key, norm(F.col(key)).alias("_k")), files.select(name, norm(F.col(name)).alias("_f"))
     exact = w.join(f, F.col("_k") == F.col("_f"))
     left = w.join(exact.select(key).distinct(), key, "left_anti")
-    loose = substring_join(f, "_f", left, "_k")
+    lengths = left.select(F.length("_k").alias("_n")).distinct()
+    places = F.sequence(F.lit(1), F.length("_f") - F.col("_n") + 1)
+    parts = f.crossJoin(F.broadcast(lengths)).where(F.length("_f") >= F.col("_n")).select(name, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("_f", i, F.col("_n"))))).alias("_k"))
+    loose = left.join(parts.groupBy("_k").agg(F.min(name).alias(name)), "_k")
     both = exact.select(key, name, F.lit(0).alias("rank")).unionByName(loose.select(key, name, F.lit(1).alias("rank")))
     return both.groupBy(key).agg(F.min(F.struct("rank", name)).alias("b")).select(key, F.col("b")[name].alias(name), (F.col("b.rank") == 0).alias("exact"))
 

@@ -47,6 +47,15 @@ def test_fuzzy_and_substring_matches(spark):
         D.substring_join(wanted, "key", files, "name", most=2)
 
 
+def test_fuzzy_match_takes_any_number_of_keys(spark):
+    n = 10_500
+    wanted = spark.range(n).select(F.format_string("v%06d", "id").alias("key")).unionByName(spark.createDataFrame([("",), ("片",), ("V-7",)], "key string"))
+    files = spark.range(n + 5).select(F.format_string("videos/a%d/v%06d.mp4", F.col("id") % 3, "id").alias("name"))
+    got = {r.key: (r.name, r.exact) for r in D.fuzzy_match(wanted, files, "key", "name").collect()}
+    assert {k: v for k, v in got.items() if len(k) == 7} == {f"v{i:06d}": (f"videos/a{i % 3}/v{i:06d}.mp4", False) for i in range(n)}
+    assert {k: v for k, v in got.items() if len(k) < 7} == {"": ("videos/a0/v000000.mp4", False), "片": ("videos/a0/v000000.mp4", False)}
+
+
 def test_repaired_rows_cast_nested_ids(spark):
     schema = "extra_info struct<correct_choice:int,metadata:struct<video_id:int,id:string>,tools_kwargs:struct<video_search:struct<execute_kwargs:struct<topk:int,video_id:int>>>>"
     df = spark.createDataFrame([({"correct_choice": 1, "metadata": {"video_id": 7, "id": "x"}, "tools_kwargs": {"video_search": {"execute_kwargs": {"topk": 4, "video_id": 7}}}},)], schema)
