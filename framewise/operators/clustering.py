@@ -26,24 +26,31 @@ def distances(x: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]
 
 
+def seed_places(distinct: int, k: int, seed: int, rounds: int) -> np.ndarray:
+    """Places of the seeds, and after them of the spare vectors for empty clusters, among the sorted distinct vectors."""
+    return np.random.default_rng(seed).permutation(distinct)[: k * (rounds + 1)]
+
+
+def renewed(centres: np.ndarray, means: dict[int, np.ndarray], pool: np.ndarray, turn: int, tol: float) -> tuple[np.ndarray, bool]:
+    """Centres after a round, and whether they have come to rest."""
+    k = len(centres)
+    new = np.array([means[c] if c in means else pool[(k * (turn + 1) + c) % len(pool)] for c in range(k)], dtype=np.float64)
+    return new, bool(np.linalg.norm(new - centres, axis=1).sum() ** 2 < tol)
+
+
 def kmeans(x: np.ndarray, k: int, metric: str = "euclidean", seed: int = 0, tol: float = 1e-4, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Assignment and centres.
 
-    Seeds are distinct rows; an empty cluster takes a random row; stops when the squared total shift is below ``tol``.
+    Seeds are distinct rows; an empty cluster takes a random distinct row; stops when the squared total shift is below ``tol``.
     """
-    rng = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
-    centres = distinct[rng.permutation(len(distinct))[:k]].astype(np.float64)
-    for _ in range(rounds):
+    pool = distinct[seed_places(len(distinct), k, seed, rounds)]
+    centres = pool[:k].astype(np.float64)
+    for turn in range(rounds):
         own = distances(x, centres, metric).argmin(1)
-        new = centres.copy()
-        for c in range(k):
-            members = x[own == c]
-            new[c] = members.mean(0) if len(members) else x[rng.integers(len(x))]
-        shift = np.linalg.norm(new - centres, axis=1).sum() ** 2
-        centres = new
-        if shift < tol:
+        centres, rests = renewed(centres, {c: x[own == c].mean(0) for c in np.unique(own).tolist()}, pool, turn, tol)
+        if rests:
             break
     return distances(x, centres, metric).argmin(1), centres
 
@@ -63,28 +70,61 @@ def kmeans_per_key(df: DataFrame, k: int, metric: str = "euclidean", seed: int =
     out = rows.join(large, "key", "left_anti").groupBy("key").applyInPandas(run, "key string, point long, cluster int, distance double")
     if large.isEmpty():
         return out
-    return out.unionByName(kmeans_rounds(rows.join(large, "key", "left_semi"), k))
-
-
-def kmeans_rounds(rows: DataFrame, k: int, dim: int = 64, rounds: int = 15) -> DataFrame:
-    """k-means of keys of any size, a join and an aggregation a round; seeds are the points of least hash."""
-    by_hash = W.partitionBy("key").orderBy(F.xxhash64("point"), "point")
-    seeds = rows.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= k)
-    centres = seeds.select("key", (F.col("nth") - 1).cast("int").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("centre"))
+    return out.unionByName(kmeans_rounds(rows.join(large, "key", "left_semi"), k, metric, seed))
+
+
+def sorted_places(distinct: DataFrame, parts: int = 256) -> DataFrame:
+    """Place of each of a key's distinct vectors in their order: counts per range of the first component plus a rank inside each."""
+    lead = F.col("embedding")[0].cast("double")
+    ends = distinct.groupBy("key").agg(F.min(lead).alias("low"), F.max(lead).alias("high"))
+    share = F.coalesce(F.try_divide(lead - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    rows = distinct.join(ends, "key").select("key", "embedding", F.floor(share * (parts - 1)).alias("part"))
+    counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    over = W.partitionBy("key").orderBy("part")
+    before = counts.select("key", "part", (F.sum("n").over(over) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("key")).alias("all"))
+    inside = F.row_number().over(W.partitionBy("key", "part").orderBy("embedding")) - 1
+    return rows.join(before, ["key", "part"]).select("key", "embedding", (F.col("before") + inside).alias("place"), "all")
+
+
+def kmeans_rounds(rows: DataFrame, k: int, metric: str = "euclidean", seed: int = 0, tol: float = 1e-4, dim: int = 64, rounds: int = 15) -> DataFrame:
+    """:func:`kmeans` of keys of any size, a join and an aggregation a round, with the same seeds and rules."""
+    state = "key string, k int, pool array<array<double>>, centres array<array<double>>, rests boolean"
+    placed = sorted_places(rows.select("key", "embedding").distinct())
+
+    def chosen(frames):
+        for f in frames:
+            for key, n in zip(f["key"], f["all"]):
+                at = seed_places(n, min(k, n), seed, rounds)
+                yield pd.DataFrame({"key": key, "place": at, "nth": np.arange(len(at)), "k": min(k, n)})
+
+    wanted = placed.groupBy("key").agg(F.max("all").alias("all")).mapInPandas(chosen, "key string, place long, nth int, k int")
+    vectors = placed.join(wanted, ["key", "place"]).select("key", "k", F.struct("nth", F.transform("embedding", lambda x: x.cast("double")).alias("v")).alias("s"))
+    pools = vectors.groupBy("key").agg(F.max("k").alias("k"), F.array_sort(F.array_agg("s")).alias("s")).withColumn("pool", F.col("s")["v"])
+    now = pools.select("key", "k", "pool", F.slice("pool", 1, F.col("k")).alias("centres"), F.lit(False).alias("rests")).checkpoint()
     means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dim)]
     for turn in range(rounds):
-        near = nearest_of_key(rows, centres)
-        if turn + 1 < rounds:
-            moved = near.groupBy("key", "cluster").agg(*means)
-            centres = moved.select("key", "cluster", F.array(*[F.col(f"m{i}") for i in range(dim)]).alias("centre")).checkpoint()
-    return near.select("key", "point", "cluster", F.round(F.sqrt("d"), 6).alias("distance"))
 
+        def moved(frames, turn=turn):
+            for f in frames:
+                out = f[["key", "k", "pool"]].copy()
+                fresh = [renewed(np.stack(c), {m["cluster"]: np.asarray(m["m"]) for m in ms}, np.stack(p), turn, tol) for c, ms, p in zip(f["centres"], f["ms"], f["pool"])]
+                out["centres"], out["rests"] = [[r.tolist() for r in c] for c, _ in fresh], [r for _, r in fresh]
+                yield out
+
+        moving = now.where("not rests")
+        near = nearest_of_key(rows, moving, metric).groupBy("key", "cluster").agg(*means)
+        got = near.groupBy("key").agg(F.array_agg(F.struct("cluster", F.array(*[F.col(f"m{i}") for i in range(dim)]).alias("m"))).alias("ms"))
+        now = moving.join(got, "key").mapInPandas(moved, state).unionByName(now.where("rests")).checkpoint()
+        if now.where("not rests").isEmpty():
+            break
+    return nearest_of_key(rows, now, metric).select("key", "point", "cluster", F.round(F.sqrt(F.greatest("d", F.lit(0.0))), 6).alias("distance"))
 
-def nearest_of_key(rows: DataFrame, centres: DataFrame) -> DataFrame:
+
+def nearest_of_key(rows: DataFrame, now: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Every row with the nearest of its key's centres: the centres of a key travel as one row."""
-    packed = centres.groupBy("key").agg(F.array_sort(F.array_agg(F.struct("cluster", "centre"))).alias("cs"))
-    best = F.array_min(F.transform("cs", lambda c: F.struct(vector.squared_distance(F.col("embedding"), c["centre"]).alias("d"), c["cluster"].alias("cluster"))))
-    return rows.join(packed, "key").select("key", "point", "embedding", best.alias("b")).select("key", "point", "embedding", "b.cluster", "b.d")
+    away = (lambda c: F.coalesce(vector.cosine_distance(F.col("embedding"), c), F.lit(1.0))) if metric == "cosine" else lambda c: vector.squared_distance(F.col("embedding"), c)
+    best = F.array_min(F.transform("centres", lambda c, i: F.struct(away(c).alias("d"), i.alias("cluster"))))
+    return rows.join(now.select("key", "centres"), "key").select("key", "point", "embedding", best.alias("b")).select("key", "point", "embedding", "b.cluster", "b.d")
 
 
 def breadth_expansion(relevance_of, points: int, first: int = 8, most: int = 32, wanted: int = 4) -> int:
@@ -99,26 +139,51 @@ def breadth_expansion(relevance_of, points: int, first: int = 8, most: int = 32,
 
 
 def ward(x: np.ndarray, parts: int) -> np.ndarray:
-    """Labels of ``parts`` clusters by Ward's merging, numbered by first member."""
+    """Labels of ``parts`` clusters by Ward's merging, numbered by first member.
+
+    Chains of nearest neighbours give the merges of the greedy order in linear memory and quadratic time.
+    """
     n = len(x)
     parts = max(1, min(parts, n))
-    size, centre = np.ones(n), x.astype(np.float64).copy()
-    label, alive = np.arange(n), np.ones(n, dtype=bool)
-    cost = (size[:, None] * size[None] / (size[:, None] + size[None])) * np.maximum(distances(centre, centre, "euclidean"), 0)
-    np.fill_diagonal(cost, np.inf)
-    for _ in range(n - parts):
-        i, j = sorted(divmod(int(np.argmin(cost)), n))
+    size, centre, ident = np.ones(n), x.astype(np.float64).copy(), np.arange(n)
+    norm = (centre * centre).sum(1)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    links: list[float] = []
+    while len(merges) < n - 1:
+        if 2 * (n - len(merges)) < len(size) and len(size) > 64:
+            keep = np.flatnonzero(size)
+            new = np.full(len(size), -1)
+            new[keep] = np.arange(len(keep))
+            size, centre, norm, ident, chain = size[keep], centre[keep], norm[keep], ident[keep], new[chain].tolist() if chain else []
+        if not chain:
+            chain.append(int(np.flatnonzero(size)[0]))
+        a = chain[-1]
+        cost = np.where(size > 0, size[a] * size / (size[a] + size) * np.maximum(norm + norm[a] - 2 * (centre @ centre[a]), 0), np.inf)
+        cost[a] = np.inf
+        b = int(cost.argmin())
+        if not links or cost[b] < links[-1]:  # links shorten, so a chain ends
+            chain.append(b)
+            links.append(float(cost[b]))
+            continue
+        i, j = sorted((chain.pop(), chain.pop()), key=ident.__getitem__)
+        merges.append((links.pop(), int(ident[i]), int(ident[j])))
+        del links[max(len(chain) - 1, 0) :]
         centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        norm[i] = centre[i] @ centre[i]
         size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-        cost[j, :] = cost[:, j] = np.inf
-        row = size[i] * size / (size[i] + size) * np.maximum(((centre - centre[i]) ** 2).sum(1), 0)
-        row[~alive] = np.inf
-        row[i] = np.inf
-        cost[i, :] = cost[:, i] = row
-    _, out = np.unique(label, return_inverse=True)
-    return out
+        size[j] = 0
+    top = list(range(n))
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = k = top[top[k]]
+        return k
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - parts]:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    return np.unique([root(k) for k in range(n)], return_inverse=True)[1]
 
 
 def split_by_relevance(x: np.ndarray, relevance: int, parts: int = 4) -> list[tuple[int, int]]:
@@ -137,10 +202,6 @@ def split_by_relevance(x: np.ndarray, relevance: int, parts: int = 4) -> list[tu
     return [(int(s), int(z)) for s, z in zip(sub, deep)]
 
 
-#: Members of a cluster that Ward's method takes; it is quadratic, larger clusters are split by k-means first.
-WARD_POINTS = 2_000
-
-
 def depth_expansion(assigned: DataFrame, vectors: DataFrame, relevance: str | None = None, parts: int = 4) -> DataFrame:
     """``key, point, cluster, sub, subsub``: each cluster split by its relevance (a column of ``assigned``, else 3)."""
     rows = assigned.join(vectors, ["key", "point"]).withColumn("relevance", F.col(relevance) if relevance else F.lit(3))
@@ -148,12 +209,7 @@ def depth_expansion(assigned: DataFrame, vectors: DataFrame, relevance: str | No
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("point")
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        if len(x) > WARD_POINTS:
-            own, centres = kmeans(x, WARD_POINTS // 4)
-            coarse = split_by_relevance(centres, int(frame["relevance"].iloc[0]), parts)
-            levels = [coarse[c] for c in own]
-        else:
-            levels = split_by_relevance(x, int(frame["relevance"].iloc[0]), parts)
+        levels = split_by_relevance(x, int(frame["relevance"].iloc[0]), parts)
         return pd.DataFrame({"key": frame["key"], "point": frame["point"], "cluster": frame["cluster"], "sub": [a for a, _ in levels], "subsub": [b for _, b in levels]})
 
     return rows.groupBy("key", "cluster").applyInPandas(run, "key string, point long, cluster int, sub int, subsub int")

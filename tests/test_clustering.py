@@ -48,3 +48,39 @@ def test_large_keys_are_clustered_without_grouping_them(spark, blobs, monkeypatc
     big = sorted((r.point, r.cluster) for r in got if r.key == "big")
     assert len(big) == 60 and sum(r.key == "small" for r in got) == 25
     assert all(len({c for p, c in big if a <= p < a + 20}) == 1 for a in (0, 20, 40))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_large_keys_follow_the_rules_of_small_ones(spark, monkeypatch, tmp_path, metric):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(15, 64)), 4, axis=0)
+    df = spark.createDataFrame([("v", k, [float(v) for v in r]) for k, r in enumerate(x)], "key string, point long, embedding array<float>")
+    rows = lambda: sorted((r.point, r.cluster, round(r.distance, 4)) for r in C.kmeans_per_key(df, 5, metric, seed=2).collect())
+    small = rows()
+    monkeypatch.setattr(C, "MOST_POINTS", 30)
+    assert rows() == small and len({c for _, c, _ in small}) == 5
+
+
+def test_an_empty_cluster_is_filled_from_the_pool():
+    pool = np.arange(6.0).reshape(-1, 1)
+    new, rests = C.renewed(pool[:2], {0: np.array([0.5])}, pool, 0, 1e-4)
+    assert new.tolist() == [[0.5], [3.0]] and not rests
+
+
+def test_ward_merges_members_at_every_size(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(n, 4)) * 0.1 + at for n, at in ((2400, 0), (60, 3), (30, 6), (10, 9))])
+    df = spark.createDataFrame([("v", k, [float(v) for v in r]) for k, r in enumerate(x)], "key string, point long, embedding array<double>")
+    assigned = df.selectExpr("key", "point", "0 cluster", "2 relevance")
+    got = C.depth_expansion(assigned, df, "relevance").orderBy("point").collect()
+    want = C.ward(x, 4)
+    assert [r["sub"] for r in got] == want.tolist()
+    small = x[::25]
+    held = {k: [k] for k in range(len(small))}
+    cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((small[a].mean(0) - small[b].mean(0)) ** 2).sum()
+    while len(held) > 4:
+        i, j = min(((a, b) for a in held for b in held if a < b), key=lambda p: cost(held[p[0]], held[p[1]]))
+        held[i] += held.pop(j)
+    assert groups(C.ward(small, 4).tolist()) == {frozenset(v) for v in held.values()}
