@@ -56,7 +56,74 @@ def test_document_evidence_joins_unknown_abbreviations_and_names():
     text = "So the qrst. and Velm met. Then qrst. Velm saw a velm."
     assert len(sentences.sentences(text)) == 3
     text = "He saw Velm. Then qrst. Velm came."
-    assert len(sentences.sentences(text)) == 3 and len(sentences.sentences(text, {"qrst"})) == 2
+    assert len(sentences.sentences(text)) == 3 and len(sentences.sentences(text, {"qrst": "inside"})) == 2
+
+
+def corpus(spark, texts):
+    rows = sentences.corpus_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    return {r.word: r.kind for r in rows if not r.is_name}, {r.word for r in rows if r.is_name}
+
+
+FILLER = ["The barn was red. Some went home.", "We saw the barn. It was late, as Velm had said. Velm left.", "Orsa left the barn.", "He met Orsa and Velm. Orsa ran."]
+CORPUS = [f"We asked xdr. {n} at {k} xpm. the day. So {n} left at {k} xpm.\n\nIt was xnr. {k}, or xetc. and so on. He ran." for k, n in enumerate(["Velm", "Orsa", "Quillo", "Hespa"] * 30, 1)] + FILLER * 40
+
+
+def test_corpus_statistics_replace_the_lists(spark):
+    words, names = corpus(spark, CORPUS)
+    assert {w: words.get(w) for w in ("xdr", "xpm", "xnr", "xetc", "barn", "home")} == {"xdr": "leading", "xpm": "trailing", "xnr": "leading", "xetc": "inside", "barn": None, "home": None}
+    assert "orsa" in names and "it" not in names
+    parts = ["Then xdr. Stav came at 7 xpm.", "The xnr. 4 was there.", "It had rope, nails xetc. and a barn.", "Tell xetc. Orsa that."]
+    assert [a for a, b in zip(parts, sentences_of(" ".join(parts), words, names)) if a != b] == []
+    lowered = "at 6:26 xpm. the painter left. the scene starts at 7 xpm. see xnr. 2."
+    assert sentences_of(lowered, words, names) == ["at 6:26 xpm. the painter left.", "the scene starts at 7 xpm.", "see xnr. 2."]
+
+
+def sentences_of(text, words=None, names=frozenset(), lists=False):
+    return [text[a:b] for a, b in sentences.sentences(text, words, names, lists)]
+
+
+def test_document_outweighs_corpus_and_lists():
+    seen = "We saw the fig. at the wall.\n\nIt was a fig.\n\nHere is the fig. The tree is old."
+    assert sentences_of(seen, {"fig": "leading"}, lists=True)[-2:] == ["Here is the fig.", "The tree is old."]
+    assert sentences_of("Here is the fig. The tree is old.", {"fig": "ordinary"}, lists=True) == ["Here is the fig.", "The tree is old."]
+    judge = sentences.Judge("See fig. The end. Go.", {"fig": "leading"}, set())
+    sentences.spans(judge.text, judge)
+    assert judge.asked == {"corpus": 1, "none": 1}
+
+
+def test_lists_are_not_needed_over_the_test_corpus(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = sentences.corpus_words(documents).collect()
+    words, names = {r.word: r.kind for r in rows if not r.is_name}, {r.word for r in rows if r.is_name}
+    texts = [r.text for r in documents.select("text").limit(1500).collect()]
+    changed = sum(len(set(sentences.sentences(t, words, names)) ^ set(sentences.sentences(t, words, names, lists=False))) for t in texts)
+    assert changed <= 0.01 * sum(len(sentences.sentences(t, words, names)) for t in texts)
+
+
+def test_quotations_of_any_length_hold_their_sentences():
+    for n in (1, 100, 3000):
+        inner = "It fell. " * n
+        text = f"He said, “{inner}So it was,” and left. Then (see it. {inner}) he ran. She said \"{inner}Ok\" twice. End."
+        assert len(sentences.sentences(text)) == 4
+
+
+def test_long_abbreviations_and_decomposed_letters():
+    text = "Die abkürzungswort. und die abkürzungswort. neun. Die abkürzungswort. Velm ging, weil Velm wollte."
+    assert sentences_of(text)[:2] == ["Die abkürzungswort. und die abkürzungswort. neun.", "Die abkürzungswort. Velm ging, weil Velm wollte."]
+    assert sentences_of("Véase la pa\u0301g. 94 o no.", {"pág": "leading"}) == ["Véase la pa\u0301g. 94 o no."]
+
+
+def test_joined_statistics_equal_broadcast_ones(spark, monkeypatch):
+    rows = [(None if k == 3 else k, t) for k, t in enumerate(CORPUS[:200] + ["Then xdr. Stav came. xetc. Orsa left.", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, sentences.document_sentences(df).collect()))
+    monkeypatch.setattr(sentences, "MOST_BROADCAST", 0)
+    assert sorted(map(str, sentences.document_sentences(df).collect())) == want
 
 
 def test_table_forms(spark):
