@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ LOOKALIKES = {
 # English number words.
 UNITS = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+NUMBER_WORDS = frozenset(UNITS) | frozenset(TENS)
 
 #: Words a loader puts before a question; each is a list of words.
 LEAD_INS = [x.split() for x in (
@@ -25,10 +27,13 @@ LEAD_INS = [x.split() for x in (
 )]
 
 UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\r]]", regex.V1)
-TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,200}>|\{\\[^{}]{0,200}\}")
+TAG = regex.compile(r"</?[a-zA-Z][^<>]*>|\{\\[^{}]*\}")
 BREAKS = regex.compile(r"</?(?:br|p|div|li|tr|td)\b[^<>]*>", regex.I)
 QUOTE = regex.compile(r"(?<=\p{L})['’‘ʼ`´＇](?=\p{L})")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: The same for texts of lower-case ASCII.
+ASCII_WORD = re.compile("[a-z0-9]+")
+ASCII_QUOTE = re.compile("(?<=[A-Za-z])['`](?=[A-Za-z])")
 LATIN = regex.compile(r"\p{Latin}")
 SPELLED = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}]+")
 NUMBERED = regex.compile(r"^\s*[\"“”']*\s*(?:\[\s*\d+\s*\]|\(\s*\d+\s*\)|[Qq]\s*\.?\s*\d+\s*[.:)]|\d+\s*[.)])\s*")
@@ -39,13 +44,18 @@ def plain(text: str) -> str:
     for _ in range(2):
         if "&" in text:
             text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", UNSEEN.sub("", text))
+    # ASCII without control signs is its own compatibility form.
+    if not (text.isascii() and (text.isprintable() or text.replace("\n", "").isprintable())):
+        text = unicodedata.normalize("NFKC", UNSEEN.sub("", text))
     return TAG.sub("", BREAKS.sub(" ", text)) if "<" in text or "{" in text else text
 
 
 def words_of(text: str) -> list[str]:
     """The words and numbers of a text in order, whatever the case, spacing, punctuation, markup or glyphs."""
-    text = unicodedata.normalize("NFKC", QUOTE.sub("", plain(text)).casefold())
+    text = plain(text)
+    if text.isascii():
+        return ASCII_WORD.findall((ASCII_QUOTE.sub("", text) if "'" in text or "`" in text else text).lower())
+    text = unicodedata.normalize("NFKC", QUOTE.sub("", text).casefold())
     found = WORD.findall(text)
     if text.isascii():
         return found
@@ -108,15 +118,26 @@ def same_word(a: str, b: str) -> bool:
 
 def frame(words: tuple[str, ...] | list[str]) -> str:
     """What slips leave of a list of words: lists that :func:`same_words` accepts have equal frames."""
-    return " ".join("*" if len(w) >= LONG_WORD - 1 and SPELLED.fullmatch(w) else w for w in words)
+    return " ".join(map(frame_word, words))
+
+
+@lru_cache(maxsize=200_000)
+def frame_word(word: str) -> str:
+    return "*" if len(word) >= LONG_WORD - 1 and SPELLED.fullmatch(word) else word
 
 
 def same_words(a: tuple[str, ...] | list[str], b: tuple[str, ...] | list[str]) -> bool:
     return a == b or len(a) == len(b) and all(x == y or same_word(x, y) for x, y in zip(a, b))
 
 
+def figure(word: str) -> str:
+    return str(int(word)) if word.isdecimal() and len(word) < 19 else word
+
+
 def figures(words: list[str]) -> list[str]:
     """Number words as figures: ``forty two`` becomes ``42``; figures lose leading zeros."""
+    if NUMBER_WORDS.isdisjoint(words):
+        return [figure(w) if w[0].isdecimal() else w for w in words]
     out, k = [], 0
     while k < len(words):
         w = words[k]
@@ -128,11 +149,20 @@ def figures(words: list[str]) -> list[str]:
         elif w in UNITS:
             out.append(str(UNITS[w]))
         else:
-            out.append(str(int(w)) if w.isdecimal() and len(w) < 19 else w)
+            out.append(figure(w))
         k += 1
     return out
 
 
+@lru_cache(maxsize=200_000)
+def leads(word: str) -> tuple[list[str], ...]:
+    """Lead-ins that may begin with ``word``; all that follow one that was taken away are looked for anew."""
+    return tuple(lead for lead in LEAD_INS if same_word(word, lead[0]))
+
+
+ITEM = regex.compile(r"q\d+")
+
+
 def asked(question: str) -> list[str]:
     """Words of a question without item numbers, lead-ins and fillers, numbers as figures."""
     text = plain(question)
@@ -140,15 +170,16 @@ def asked(question: str) -> list[str]:
     changed = True
     while changed:
         changed = False
-        for lead in LEAD_INS:
+        for lead in leads(words[0]) if words else ():
             n = len(lead)
             if len(words) > n + 2 and all(same_word(x, y) for x, y in zip(words, lead)):
                 words, changed = words[n:], True
-        if len(words) > 4 and regex.fullmatch(r"q\d+", words[0]):
+        if len(words) > 4 and words[0][0] == "q" and ITEM.fullmatch(words[0]):
             words, changed = words[1:], True
     return figures(words)
 
 
+QUOTED = regex.compile(r"[\"'“”](.*?)[\"'“”](?=\s*[,\]])", regex.S)
 LABEL = regex.compile(r"(?:^|(?<=\s))[(\[]?(\p{L}|\d{1,2})[.):\]](?=\s)")
 
 
@@ -162,7 +193,7 @@ def choices(options: str) -> list[str]:
                 return [str(x) for x in got]
         except ValueError:
             pass
-        return [x for x in regex.findall(r"[\"'“”](.*?)[\"'“”](?=\s*[,\]])", text, regex.S)] or [text]
+        return QUOTED.findall(text) or [text]
     if " | " in text or "|" in text:
         return text.split("|")
     marks, want = [], 0
@@ -201,6 +232,9 @@ def same_choices(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> bool:
 
 
 VIDEO = regex.compile(r"[vV]?(\d{1,18})(?:\.0)?")
+PLAIN_VIDEO = re.compile(r"v[0-9]{9}")
+FILE_ENDING = regex.compile(r"\.[A-Za-z][A-Za-z0-9]{1,4}$")
+COPY_ENDING = regex.compile(r"[_-](?:burned|raw|sub|subs|subtitled)$", regex.I)
 
 
 def video_key(text: str | None) -> str | None:
@@ -210,10 +244,12 @@ def video_key(text: str | None) -> str | None:
     """
     if text is None:
         return None
+    if PLAIN_VIDEO.fullmatch(text):
+        return text
     text = plain(text).strip()
-    name = regex.split(r"[/\\]", text)[-1].strip()
-    name = regex.sub(r"\.[A-Za-z][A-Za-z0-9]{1,4}$", "", name)
-    name = regex.sub(r"[_-](?:burned|raw|sub|subs|subtitled)$", "", name, flags=regex.I)
+    name = text.replace("\\", "/").rpartition("/")[2].strip()
+    name = FILE_ENDING.sub("", name)
+    name = COPY_ENDING.sub("", name)
     m = VIDEO.fullmatch(name)
     if m:
         return f"v{int(m[1]):09d}"
