@@ -43,6 +43,12 @@ def cue_end(end: Column, duration: Column) -> Column:
     return F.coalesce(F.nullif(end.try_cast("double"), F.lit(float("nan"))), duration)
 
 
+def cue_span(start: Column, end: Column, offset: Column, duration: Column) -> Column:
+    """(start, end, middle) of a cue on the clock of a video that starts at ``offset``; an end that is no number is the duration."""
+    a, b = start - offset, cue_end(end, duration) - offset
+    return F.struct(a.alias("start"), b.alias("end"), ((a + b) / 2).alias("middle"))
+
+
 def repaired_cue(start: Column, end: Column, duration: Column) -> Column:
     """(start, end) for burning in: cues under a second become one around their middle, clamped to the video; null when outside."""
     middle, short = (start + end) / 2, (end - start) < 1
@@ -145,6 +151,27 @@ def longest_side_scale(width: Column, height: Column, longest: int) -> Column:
     return F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
 
 
+def closest_ratio(width: Column, height: Column, ratios: list[tuple[int, int]], side: int) -> Column:
+    """The (across, down) of ``ratios`` whose quotient is nearest the frame's; of equally near ones a later one is taken
+    where the frame has more than half the area of its tiles of ``side`` pixels."""
+    best = F.array(F.lit(1), F.lit(1))
+    apart = F.lit(float("inf"))
+    given = F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in ratios])
+    state = F.struct(apart.alias("d"), best.alias("r"))
+
+    def step(s: Column, r: Column) -> Column:
+        d = F.abs(width / height - r[0] / r[1])
+        take = (d < s["d"]) | ((d == s["d"]) & (width * height > F.lit(0.5 * side * side) * r[0] * r[1]))
+        return F.struct(F.least(d, s["d"]).alias("d"), F.when(take, r).otherwise(s["r"]).alias("r"))
+
+    return F.aggregate(given, state, step)["r"]
+
+
+def capped_images(given: Column, before: Column, most: int = 150) -> Column:
+    """How many of a turn's images fit when ``before`` were sent already and a conversation holds ``most``."""
+    return F.greatest(F.lit(0), F.least(given, F.lit(most) - before))
+
+
 def repeated_captions(captions: Column, times: int) -> Column:
     return F.flatten(F.transform(captions, lambda c: F.array_repeat(c, times)))
 

@@ -39,19 +39,30 @@ def question_table(passes: DataFrame, keys: list[str], cap: int | None = None) -
     return out.withColumn("vote_right", F.coalesce(F.col("vote") == F.col("gt"), F.lit(False)))
 
 
-def pass_at_k_report(questions: DataFrame, keys: list[str] | None = None, ks: tuple[int, ...] = KS) -> DataFrame:
-    """Mean pass@k over questions with at least k passes, one row a k that occurs."""
+def pass_at_k_report(questions: DataFrame, n_passes: int | None = None, keys: list[str] | None = None, ks: tuple[int, ...] = KS) -> DataFrame:
+    """Mean pass@k, one row a k.
+
+    With ``n_passes`` every question counts with so many passes, whatever it has: ``ks`` up to it and itself, the mean
+    over all rows, null where there are none.  Without, a question counts with its own passes ``n``, in every k it
+    reaches.
+    """
     keys = keys or []
-    rows = questions.select(*keys, "n", "c", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("n >= k")
-    return rows.groupBy(*keys, "k").agg(F.avg(pass_at_k(F.col("n"), F.col("c"), F.col("k"))).alias("pass_at_k"), F.count("*").alias("questions"))
+    if n_passes is None:
+        rows = questions.select(*keys, "n", "c", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("n >= k")
+        return rows.groupBy(*keys, "k").agg(F.avg(pass_at_k(F.col("n"), F.col("c"), F.col("k"))).alias("pass_at_k"), F.count("*").alias("questions"))
+    wanted = sorted({k for k in ks if k <= n_passes} | ({n_passes} if n_passes > 1 else set()))
+    means = questions.groupBy(*keys).agg(*[F.avg(pass_at_k(F.lit(n_passes), F.col("c"), k)).alias(f"_{k}") for k in wanted], F.count("*").alias("questions"))
+    return means.select(*keys, "questions", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("pass_at_k")) for k in wanted]))).select(*keys, "k", "pass_at_k", "questions")
 
 
-def capped_pass_table(passes: DataFrame, keys: list[str], cap: int = 4) -> DataFrame:
-    """pass@k of the first ``cap`` passes for k up to ``cap``, the mean share of right ones, and the number of questions."""
+def capped_pass_table(passes: DataFrame, keys: list[str], cap: int = 4, ks: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """A row a k that any question reaches, over the first ``cap`` passes: mean pass@k and number of the questions with k
+    passes or more, and the mean of right passes over ``cap`` of all questions."""
     q = question_table(passes, ["qid", *keys], cap)
     n, c = F.col("n"), F.col("c")
-    ks = [F.avg(F.when(n >= k, pass_at_k(n, c, k))).alias(f"pass_{k}") for k in (1, 2, 4) if k <= cap]
-    return q.groupBy(*keys).agg(*ks, F.avg(c / F.lit(float(cap))).alias(f"average_{cap}"), F.count("*").alias("num_samples"))
+    per_k = [F.struct(F.lit(k).alias("k"), F.avg(F.when(n >= k, pass_at_k(n, c, k))).alias("pass_at_k"), F.count_if(n >= k).alias("num_samples")) for k in ks]
+    rows = q.groupBy(*keys).agg(F.array(*per_k).alias("_k"), (F.avg(c) / F.lit(float(cap))).alias(f"average_{cap}"))
+    return rows.select(*keys, f"average_{cap}", F.inline("_k")).where("num_samples > 0").select(*keys, "k", "pass_at_k", f"average_{cap}", "num_samples")
 
 
 def voted_index(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -68,24 +79,52 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def pivoted(df: DataFrame, row: str, column: str, values: list[str], agg: Column, fill: float | None = None) -> DataFrame:
-    """Pivot with a fixed list of columns, so the plan needs no extra pass over the data."""
-    out = df.groupBy(row).pivot(column, values).agg(agg)
-    return out.fillna(fill) if fill is not None else out
+def pivoted(df: DataFrame, row: str, column: str, values: list[str], aggs: dict[str, Column], labels: list[str] | None = None, fill: dict[str, float] | None = None) -> DataFrame:
+    """Pivot with a fixed list of columns, so the plan needs no extra pass over the data; columns ``name_i`` for value i.
+
+    With ``labels`` the rows are exactly these, in any data; ``fill`` gives the value of empty cells by name.
+    """
+    out = df.groupBy(row).agg(*[agg(F.col(column) == v).alias(f"{name}_{i}") for name, agg in aggs.items() for i, v in enumerate(values)])
+    if labels is not None:
+        out = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias(row)).join(out, row, "left")
+    for name, value in (fill or {}).items():
+        out = out.fillna(value, [f"{name}_{i}" for i in range(len(values))])
+    return out
 
 
 def weighted_rollup(df: DataFrame, key: str, mean: str, weight: str) -> DataFrame:
     return df.groupBy(key).agg((F.sum(F.col(mean) * F.col(weight)) / F.sum(weight)).alias("weighted"), F.sum(weight).alias("weight"))
 
 
-def error_taxonomy(df: DataFrame, pred: Column, right: Column) -> DataFrame:
-    """Kinds of wrong rows with their share of the wrong ones."""
-    kind = F.when(F.coalesce(pred, F.lit("")) == "", "no_answer_extracted").when(pred.rlike("^[A-Za-z0-9]+$"), "wrong_answer").otherwise("other")
+def error_taxonomy(df: DataFrame, pred: Column, truth: Column, right: Column) -> DataFrame:
+    """Kinds of the rows not marked right, with their share: no prediction, one that differs from the truth, the rest."""
+    kind = F.when(pred == "", "no_answer_extracted").when(~pred.eqNullSafe(truth), "wrong_answer").otherwise("other")
     counted = df.where(~F.coalesce(right, F.lit(False))).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     return counted.crossJoin(F.broadcast(total)).select("kind", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
 
 
+def caseless_accuracy(votes: DataFrame, vote: str = "vote", truth: str = "gt", failed: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Accuracy of votes without regard to case, over rows with a truth and without an error: correct, valid, accuracy."""
+    valid = F.col(truth).isNotNull() & (F.col(truth) != "") & ~(F.lit(False) if failed is None else F.coalesce(failed, F.lit(False)))
+    right = F.upper(F.coalesce(F.col(vote), F.lit(""))) == F.upper(F.col(truth))
+    return votes.where(valid).groupBy(*(keys or [])).agg(F.count_if(right).alias("correct"), F.count("*").alias("valid"), share(right).alias("accuracy"))
+
+
+def revised(first: Column, needs: Column, candidate: Column, score: Column | None = None, candidate_score: Column | None = None) -> Column:
+    """(kept, revised, error) of a specification (struct of proposition, an array, and specification, a text) and its revision.
+
+    A revision is taken if it is asked for and says something in both parts; with scores it must also be strictly
+    better.  One that is asked for and says nothing is an error.
+    """
+    said = F.filter(candidate["proposition"], lambda p: F.trim(p) != "")
+    valid = (F.coalesce(F.size(said), F.lit(0)) > 0) & (F.coalesce(F.trim(candidate["specification"]), F.lit("")) != "")
+    asked = F.coalesce(needs, F.lit(False))
+    better = F.lit(True) if score is None else F.coalesce(candidate_score > score, F.lit(False))
+    take = asked & F.coalesce(valid, F.lit(False)) & better
+    return F.struct(F.when(take, candidate).otherwise(first).alias("kept"), take.alias("revised"), F.when(asked & ~F.coalesce(valid, F.lit(False)), "invalid revision").alias("error"))
+
+
 def response_diversity(df: DataFrame, key: str, response: str) -> DataFrame:
     """Distinct over all responses of keys with more than one, as count, mean, least and most."""
     per = df.groupBy(key).agg((F.count_distinct(response) / F.count(response)).alias("d"), F.count(response).alias("n")).where("n > 1")
@@ -95,8 +134,10 @@ def response_diversity(df: DataFrame, key: str, response: str) -> DataFrame:
 def any_right_runs(runs: DataFrame, n: int) -> DataFrame:
     """Full outer merge of ``n`` runs (uid, run from 1, pred, truth); missing predictions are -1.
 
-    Keeps 1-based lists of valid and right runs; ``pred`` is the truth if any run is right, else the first run's.
+    Keeps 1-based lists of valid and right runs; ``pred`` is the truth if any run is right, else the first run's.  Of a
+    run repeated for a uid the largest prediction counts.
     """
+    runs = runs.groupBy("uid", "run").agg(F.max("pred").alias("pred"), F.min("truth").alias("truth"))
     per = runs.groupBy("uid").agg(F.map_from_entries(F.array_agg(F.struct("run", "pred"))).alias("m"), F.min_by("truth", "run").alias("truth"))
     preds = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(-1)))
     return (

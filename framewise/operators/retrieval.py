@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,10 +35,11 @@ def query_matrix(queries: DataFrame, ident: str, vec: str, dim: int, most: int =
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
 
 
-def similarities(rows: DataFrame, queries: DataFrame, dim: int = 64, floor: float = 0.0, ident: str = "query_id", vec: str = "query_embedding", digits: int | None = 6) -> DataFrame:
+def similarities(rows: DataFrame, queries: DataFrame, dim: int = 64, floor: float = 0.0, ident: str = "query_id", vec: str = "query_embedding", digits: int | None = 6, best: tuple[int, str | None, str] | None = None) -> DataFrame:
     """Every row with every query and ``sim``, their cosine: columns of ``rows`` but the embedding, the query's id, sim.
 
-    One matrix product an Arrow batch.  Zero vectors have no similarity (null) unless ``floor`` bounds the norms; unusable
+    One matrix product an Arrow batch.  ``best`` (k, group column or None, tie column) leaves of every batch only the k
+    most similar rows of each query and group, so few rows go back to the JVM.  Zero vectors have no similarity (null) unless ``floor`` bounds the norms; unusable
     embeddings give no rows.
     """
     names, matrix = query_matrix(queries, ident, vec, dim)
@@ -65,13 +67,33 @@ def similarities(rows: DataFrame, queries: DataFrame, dim: int = 64, floor: floa
                     sim = np.where(scale > 0, (x @ matrix[k : k + step].T) / scale, np.nan).ravel()
                 sim = np.round(sim, digits) if digits is not None else sim
                 m = len(names[k : k + step])
-                at = pa.array(np.repeat(place, m))
-                asked = pa.array(names[k : k + step] * len(place), name_type)
+                row, query = np.repeat(np.arange(len(place)), m), np.tile(np.arange(m), len(place))
+                if best is not None and len(row):
+                    left = leaders(batch, place, row, query, sim, *best)
+                    row, query, sim = row[left], query[left], sim[left]
+                at = pa.array(place[row])
+                asked = pa.array(names[k : k + step], name_type).take(pa.array(query))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(at) for f in keep], asked, pa.array(sim, from_pandas=True)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def leaders(batch: pa.RecordBatch, place: np.ndarray, row: np.ndarray, query: np.ndarray, sim: np.ndarray, k: int, group: str | None, tie: str) -> np.ndarray:
+    """Which (row, query) of a batch are among the k first of their query and group, by sim and then tie; none without sim."""
+    known = np.flatnonzero(~np.isnan(sim))
+    row, query, sim = row[known], query[known], sim[known]
+    rank_of = pc.rank(batch.column(tie).take(pa.array(place)), tiebreaker="dense").to_numpy()
+    code = np.zeros(len(place), dtype=np.int64)
+    if group is not None:
+        code = pc.dictionary_encode(batch.column(group).take(pa.array(place))).indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = query * (code.max(initial=0) + 2) + code[row] + 1
+    order = np.lexsort((rank_of[row], -sim, owner))
+    ranked = owner[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return known[order[nth < k]]
+
+
 def top_windows(windows: DataFrame, queries: DataFrame, k: int, per_video: bool = True) -> DataFrame:
     """The ``k`` most similar windows per query (and video): query_id, video_id, item, sim, rank.
 
@@ -79,7 +101,7 @@ def top_windows(windows: DataFrame, queries: DataFrame, k: int, per_video: bool
     decimals; ties by smaller item.  The rank filter plans to partial and final group limits.
     """
     good = windows.where(F.col("video_id").isNotNull())
-    scored = similarities(good, queries).select("query_id", "video_id", "item", "sim").where("sim is not null")
+    scored = similarities(good, queries, best=(k, "video_id" if per_video else None, "item")).select("query_id", "video_id", "item", "sim").where("sim is not null")
     w = W.partitionBy("query_id", *["video_id"] * per_video).orderBy(F.desc("sim"), "item")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -91,13 +113,17 @@ def top_subtitles(subtitles: DataFrame, queries: DataFrame, k: int, size: int =
     so the result may overshoot.
     """
     good = subtitles.where(F.col("video_id").isNotNull())
-    scored = similarities(good, queries, floor=1e-8).select("query_id", "video_id", "item", "windows", "sim")
     group = ["query_id", "video_id"]
-    placed = scored.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("sim"), "item")))
-    firsts = placed.select(*group, "rank", F.explode("windows").alias("frame")).groupBy(*group, F.floor(F.col("frame") / size).cast("int").alias("window")).agg(F.min("rank").alias("first_rank"))
-    running = F.count("*").over(W.partitionBy(*group).orderBy("first_rank").rangeBetween(W.unboundedPreceding, 0))
-    stop = F.min(F.when(F.col("found") >= k, F.col("first_rank"))).over(W.partitionBy(*group))
-    return firsts.withColumn("found", running).withColumn("stop", stop).where(F.col("first_rank") <= F.coalesce("stop", "first_rank")).select(*group, "window", "first_rank")
+    scored = similarities(good, queries, floor=1e-8).select(*group, "item", "windows", "sim")
+    # A window is found with its best subtitle; it counts if fewer than k windows have a better one.
+    found = scored.select(*group, F.col("sim").alias("s"), F.col("item").alias("i"), F.explode("windows").alias("frame"))
+    found = found.groupBy(*group, F.floor(F.col("frame") / size).cast("int").alias("window")).agg(F.min(F.struct((-F.col("s")).alias("s"), "i")).alias("best"))
+    kept = found.withColumn("better", F.rank().over(W.partitionBy(*group).orderBy("best"))).where(F.col("better") <= k).select(*group, "window", "best")
+    # Only subtitles as good as the last one needed are ranked, not a whole video's.
+    last = kept.groupBy(*group).agg(F.max("best").alias("last"))
+    needed = scored.join(last, group).select(*group, F.struct((-F.col("sim")).alias("s"), F.col("item").alias("i")).alias("best"), "last").where("best <= last")
+    ranks = needed.withColumn("first_rank", F.row_number().over(W.partitionBy(*group).orderBy("best"))).select(*group, "best", "first_rank")
+    return kept.join(ranks, [*group, "best"]).select(*group, "window", "first_rank")
 
 
 def proposition_scores(retrieved: DataFrame, propositions: DataFrame, query: str) -> DataFrame:
@@ -123,10 +149,39 @@ def softmax_labels(clips: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, cosine: bool = False) -> DataFrame:
-    """Every point with its nearest centre: point, cluster, distance (rounded, ties to the smaller cluster)."""
-    d = vector.cosine_distance if cosine else vector.squared_distance
-    scored = points.crossJoin(small(centres)).select("point", "cluster", F.round(d(F.col("embedding"), F.col("centre")), 6).alias("distance"))
-    return scored.groupBy("point").agg(F.min(F.struct("distance", "cluster")).alias("b")).select("point", "b.cluster", "b.distance")
+    """Every point with its nearest centre: point, cluster, distance (rounded, ties to the smaller cluster).
+
+    The centres are a checked small table; distances are taken by matrix operations on Arrow batches.
+    """
+    rows = centres.orderBy("cluster").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} centres")
+    schema = T.StructType([points.schema["point"], centres.schema["cluster"], T.StructField("distance", T.DoubleType())])
+    if not rows:
+        return points.sparkSession.createDataFrame([], schema)
+    names, matrix = [r.cluster for r in rows], np.array([r.centre for r in rows], dtype=np.float64)
+    dim, name_type = matrix.shape[1], to_arrow_type(centres.schema["cluster"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            right = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) == dim
+            kept = batch.filter(pa.array(right))
+            x = kept.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            for k in range(0, len(x), 4096):
+                part = x[k : k + 4096]
+                if cosine:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = 1 - (part @ matrix.T) / np.outer(np.linalg.norm(part, axis=1), np.linalg.norm(matrix, axis=1))
+                else:
+                    d = np.stack([((part - c) ** 2).sum(axis=1) for c in matrix], axis=1)
+                d = np.where(np.isnan(d), np.inf, np.round(d, 6))
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(part)), at]
+                fine = np.isfinite(least)
+                yield pa.RecordBatch.from_arrays([kept.column("point").slice(k, len(part)).filter(pa.array(fine)), pa.array(names, name_type).take(pa.array(at[fine])), pa.array(least[fine])], names=schema.names)
+
+    return points.select("point", "embedding").mapInArrow(run, schema)
 
 
 def cluster_means(points: DataFrame, dim: int = 64) -> DataFrame:

@@ -26,19 +26,28 @@ def pass_at_k_by_length(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy(timeline.length_bucket(F.col("duration")).alias("bucket")).agg(F.count("*").alias("questions"), k(1), k(2), k(4), F.round(answers.share(F.col("vote_right")), 6).alias("vote_accuracy"))
 
 
-@query(WITH + ", ks AS (SELECT unnest([1, 2, 4, 5, 8, 10, 16]) AS k) SELECT k, round(avg(CASE WHEN n - c < k THEN 1e0 ELSE 1e0 - list_product(list_transform(range(k), lambda i: (n - c - i)::DOUBLE / (n - i))) END), 6) AS pass_at_k, count(*) AS questions FROM questions, ks WHERE n >= k GROUP BY k")
+FIXED_K = "CASE WHEN {n} - c < {k} THEN 1e0 ELSE 1e0 - list_product(list_transform(range({k}), lambda i: ({n} - c - i)::DOUBLE / ({n} - i))) END"
+
+
+@query(WITH + " UNION ALL ".join(f"SELECT {k} AS k, round(avg({FIXED_K.format(n=7, k=k)}), 6) AS pass_at_k, count(*) AS questions FROM questions" for k in (1, 2, 4, 5, 7)))
 def pass_at_k_report(spark: SparkSession, d: str) -> DataFrame:
-    """A2: mean pass@k over questions with at least k passes."""
+    """A2: mean pass@k over all questions at the configured number of passes, that number among the k."""
+    return answers.pass_at_k_report(questions(spark, d), 7).withColumn("pass_at_k", F.round("pass_at_k", 6))
+
+
+@query(WITH + ", ks AS (SELECT unnest([1, 2, 4, 5, 8, 10, 16]) AS k) SELECT k, round(avg(CASE WHEN n - c < k THEN 1e0 ELSE 1e0 - list_product(list_transform(range(k), lambda i: (n - c - i)::DOUBLE / (n - i))) END), 6) AS pass_at_k, count(*) AS questions FROM questions, ks WHERE n >= k GROUP BY k")
+def pass_at_k_counted(spark: SparkSession, d: str) -> DataFrame:
+    """A2: mean pass@k by the passes each question has, over questions with at least k."""
     return answers.pass_at_k_report(questions(spark, d)).withColumn("pass_at_k", F.round("pass_at_k", 6))
 
 
-@query(f"""WITH {PASSES}, q AS (SELECT qid, method, count(*) AS n, count(*) FILTER (WHERE parsed = gt) AS c FROM passes WHERE pass_idx <= 4 GROUP BY 1, 2)
-SELECT method, round(avg({PASS_AT_K.format(k=1)}), 6) AS pass_1, round(avg({PASS_AT_K.format(k=2)}) FILTER (WHERE n >= 2), 6) AS pass_2,
-round(avg({PASS_AT_K.format(k=4)}) FILTER (WHERE n >= 4), 6) AS pass_4, round(avg(c / 4e0), 6) AS average_4, count(*) AS num_samples FROM q GROUP BY method""")
+@query(f"""WITH {PASSES}, q AS (SELECT qid, method, count(*) AS n, count(*) FILTER (WHERE parsed = gt) AS c FROM passes WHERE pass_idx <= 4 GROUP BY 1, 2),
+m AS (SELECT method, round(avg(c) / 4, 6) AS average_4 FROM q GROUP BY 1)
+""" + " UNION ALL ".join(f"SELECT method, {k} AS k, round(avg({PASS_AT_K.format(k=k)}), 6) AS pass_at_k, average_4, count(*) AS num_samples FROM q JOIN m USING (method) WHERE n >= {k} GROUP BY method, average_4" for k in (1, 2, 4)))
 def capped_pass_table(spark: SparkSession, d: str) -> DataFrame:
-    """pass@k over the first four passes."""
+    """pass@k over the first four passes, with the number of questions of each k."""
     t = answers.capped_pass_table(passes(spark, d), ["method"], 4)
-    return t.select("method", *[F.round(c, 6).alias(c) for c in ("pass_1", "pass_2", "pass_4", "average_4")], "num_samples")
+    return t.select("method", "k", F.round("pass_at_k", 6).alias("pass_at_k"), F.round("average_4", 6).alias("average_4"), "num_samples")
 
 
 @query(WITH + "SELECT qid, vote, CAST(max(m) AS BIGINT) AS votes FROM questions JOIN counted USING (qid) GROUP BY 1, 2")
@@ -56,12 +65,16 @@ def voted_index(spark: SparkSession, d: str) -> DataFrame:
 METHODS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query(WITH + f"SELECT {BUCKET} AS bucket, " + ", ".join(f"round(avg(CASE WHEN vote = gt THEN 1e0 ELSE 0e0 END) FILTER (WHERE method = '{m}'), 6) AS m{i}" for i, m in enumerate(METHODS)) + " FROM questions GROUP BY 1")
+LABELS = [name for _, name in timeline.LENGTHS]
+
+
+@query(WITH + f"""SELECT label AS bucket, {", ".join(f"round(avg(CASE WHEN vote = gt THEN 1e0 ELSE 0e0 END) FILTER (WHERE method = '{m}'), 4) AS accuracy_{i}, count(*) FILTER (WHERE method = '{m}') AS questions_{i}" for i, m in enumerate(METHODS))}
+FROM (SELECT unnest([{", ".join(f"'{x}'" for x in LABELS)}]) AS label) l LEFT JOIN (SELECT *, {BUCKET} AS bucket FROM questions) q ON label = bucket GROUP BY 1""")
 def accuracy_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy by length bucket and method as a table."""
+    """Accuracy and questions by length bucket and method as a table with a row for every label."""
     rows = questions(spark, d).select(timeline.length_bucket(F.col("duration")).alias("bucket"), "method", F.col("vote_right").cast("double").alias("right"))
-    t = answers.pivoted(rows, "bucket", "method", METHODS, F.round(F.avg("right"), 6))
-    return t.select("bucket", *[F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(METHODS)])
+    aggs = {"accuracy": lambda hit: F.round(F.avg(F.when(hit, F.col("right"))), 4), "questions": F.count_if}
+    return answers.pivoted(rows, "bucket", "method", METHODS, aggs, LABELS, {"questions": 0})
 
 
 @query(WITH + f", b AS (SELECT method, {BUCKET} AS bucket, avg(CASE WHEN vote = gt THEN 1e0 ELSE 0e0 END) AS a, count(*) AS n FROM questions GROUP BY 1, 2) SELECT method, round(sum(a * n) / sum(n), 6) AS weighted, CAST(sum(n) AS BIGINT) AS weight FROM b GROUP BY 1")
@@ -77,12 +90,15 @@ def method_stats(spark: SparkSession, d: str) -> DataFrame:
     return passes(spark, d).groupBy("method", timeline.length_bucket(F.col("duration")).alias("bucket")).agg(F.round(F.avg("turns"), 6).alias("mean_turns"), F.median(F.col("turns").cast("double")).alias("median_turns"), F.count("*").alias("n"), F.sum("turns").cast("long").alias("frames"))
 
 
-@query(f"""WITH {PASSES}, w AS (SELECT CASE WHEN pass_idx % 7 = 0 THEN 'no_answer_extracted' WHEN pass_idx % 5 = 0 THEN 'other' ELSE 'wrong_answer' END AS kind FROM passes WHERE parsed <> gt)
+@query(f"""WITH {PASSES}, p AS (SELECT CASE WHEN pass_idx % 7 = 0 THEN '' WHEN pass_idx % 5 = 0 THEN parsed || ' b' ELSE parsed END AS pred, gt, coalesce(parsed = gt AND pass_idx % 3 <> 0, false) AS correct FROM passes),
+w AS (SELECT CASE WHEN pred = '' THEN 'no_answer_extracted' WHEN pred IS DISTINCT FROM gt THEN 'wrong_answer' ELSE 'other' END AS kind FROM p WHERE NOT correct)
 SELECT kind, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM w), 6)::DOUBLE AS percent FROM w GROUP BY 1""")
 def error_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of wrong answers with their share."""
-    pred = F.when(F.col("pass_idx") % 7 == 0, "").when(F.col("pass_idx") % 5 == 0, "a b").otherwise(F.col("parsed"))
-    return answers.error_taxonomy(passes(spark, d), pred, F.col("parsed") == F.col("gt")).withColumn("percent", F.round("percent", 6))
+    """Kinds of the answers not marked right, with their share."""
+    turn = F.col("pass_idx")
+    pred = F.when(turn % 7 == 0, "").when(turn % 5 == 0, F.concat("parsed", F.lit(" b"))).otherwise(F.col("parsed"))
+    right = (F.col("parsed") == F.col("gt")) & (turn % 3 != 0)
+    return answers.error_taxonomy(passes(spark, d), pred, F.col("gt"), right).withColumn("percent", F.round("percent", 6))
 
 
 @query(f"""WITH {PASSES}, g AS (SELECT video, count(DISTINCT parsed || turns::VARCHAR) / count(*) AS dv FROM passes GROUP BY 1 HAVING count(*) > 1)
@@ -153,18 +169,19 @@ def backup_fill(spark: SparkSession, d: str) -> DataFrame:
     return answers.filled_from_backup(main, backup, "uid")
 
 
-CONTRAST = f"""WITH {PASSES}, a AS (SELECT video, parsed = gt AS correct FROM passes WHERE pass_idx = 1 AND qid % 11 = 0),
-b AS (SELECT video, parsed = gt AS correct, turns, method AS dataset FROM passes),
+CONTRAST = f"""WITH {PASSES}, a AS (SELECT qid AS video, parsed = gt AS correct FROM passes WHERE pass_idx = 1),
+b AS (SELECT qid AS video, parsed = gt AS correct, turns, method AS dataset FROM passes WHERE pass_idx > 1),
 one AS (SELECT video FROM a GROUP BY 1 HAVING count(*) = 1 AND NOT bool_or(correct))
 SELECT video, max(turns) AS max_turn, round(avg(turns), 6) AS avg_turn, count(*) AS correct_count, min(dataset) AS dataset FROM b WHERE correct AND turns >= 6 AND video IN (SELECT video FROM one) GROUP BY 1"""
 
 
 @query(CONTRAST)
 def contrast_mining(spark: SparkSession, d: str) -> DataFrame:
-    """Videos one model fails and another solves in many turns."""
+    """Items one model (the first pass) fails and another (the later ones) solves in many turns."""
+    right = (F.col("parsed") == F.col("gt")).alias("correct")
     p = passes(spark, d)
-    a = p.where("pass_idx = 1 and qid % 11 = 0").select("video", (F.col("parsed") == F.col("gt")).alias("correct"))
-    b = p.select("video", (F.col("parsed") == F.col("gt")).alias("correct"), "turns", F.col("method").alias("dataset"))
+    a = p.where("pass_idx = 1").select(F.col("qid").alias("video"), right)
+    b = p.where("pass_idx > 1").select(F.col("qid").alias("video"), right, "turns", F.col("method").alias("dataset"))
     return answers.contrast(a, b, 6, F.col("dataset")).withColumn("avg_turn", F.round("avg_turn", 6))
 
 
@@ -257,11 +274,20 @@ def judge_summary(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("verdict").agg(F.count("*").alias("n"), mean("inclusion", "inclusion"), mean("temporal_alignment", "temporal"), mean("operator_correctness", "operators"), mean("overall_score", "overall"), mean(F.col("needs_revision").cast("int"), "revision_rate"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 AND p_size > p_partkey % 50 THEN 'revised' ELSE 'first' END AS kept FROM part")
+@query("""WITH c AS (SELECT p_partkey AS id, p_size % 2 = 0 AS asked, p_size % 5 <> 0 AND p_type <> 'PROMO' AS valid, p_size AS new, p_partkey % 50 AS old, p_type, p_brand FROM part)
+SELECT id, asked AND valid AS first_revised, CASE WHEN asked AND NOT valid THEN 'invalid revision' END AS error, CASE WHEN asked AND valid THEN p_brand ELSE 'first' END AS first_kept,
+asked AND valid AND new > old AS second_revised, CASE WHEN asked AND valid AND new > old THEN p_type ELSE 'first' END AS second_kept FROM c""")
 def revision_selection(spark: SparkSession, d: str) -> DataFrame:
-    """A valid revision is kept only if strictly better."""
-    valid, better = F.col("p_size") % 2 == 0, F.col("p_size") > F.col("p_partkey") % 50
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(valid & better, "revised").otherwise("first").alias("kept"))
+    """A valid revision is taken; in a second step only if strictly better."""
+    part = lambda proposition, text: F.struct(proposition.alias("proposition"), text.alias("specification"))
+    first = part(F.array(F.lit("x")), F.lit("first"))
+    said = F.when(F.col("p_size") % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit(""), "p_brand"))
+    text = lambda c: F.when(F.col("p_type") == "PROMO", " ").otherwise(F.col(c))
+    asked = F.col("p_size") % 2 == 0
+    one = answers.revised(first, asked, part(said, text("p_brand")))
+    two = answers.revised(first, asked, part(said, text("p_type")), F.col("p_partkey") % 50, F.col("p_size"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), one.alias("a"), two.alias("b"))
+    return rows.select("id", F.col("a.revised").alias("first_revised"), "a.error", F.col("a.kept.specification").alias("first_kept"), F.col("b.revised").alias("second_revised"), F.col("b.kept.specification").alias("second_kept"))
 
 
 @query("""WITH k AS (SELECT *, -(ln(1 / ((0.78 - 0.01) / 0.98) - 1)) / ((0.60 - 0.40) / 0.55 - 0.30) * 0.7 AS k FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity / 50)::DOUBLE AS c FROM lineitem)),
@@ -346,11 +372,13 @@ def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).join(f, "qid").groupBy("method").agg(mean("one", "pass_1"), mean("four", "pass_4"), mean(F.col("vote_right").cast("int"), "majority"), F.sum("frames").alias("frames"), mean("frames", "mean_frames"))
 
 
-@query("SELECT data_source, count(*) AS rows, count(*) FILTER (WHERE upper(trim(answer)) = upper(coalesce(split, ''))) AS odd, round(avg((upper(answer) = 'A')::INT), 6) AS share_a FROM data_input WHERE answer IS NOT NULL GROUP BY 1")
+@query(WITH + """, v AS (SELECT method, CASE WHEN qid % 2 = 0 THEN lower(vote) ELSE vote END AS vote, CASE WHEN qid % 9 = 0 THEN '' ELSE gt END AS gt, qid % 13 = 0 AS failed FROM questions)
+SELECT method, count(*) FILTER (WHERE upper(vote) = upper(gt)) AS correct, count(*) AS valid, round(avg((upper(vote) = upper(gt))::INT), 6) AS accuracy FROM v WHERE gt <> '' AND NOT failed GROUP BY 1""")
 def case_insensitive_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy without regard to case, rows without an answer left out."""
-    up = F.upper("answer")
-    return table(spark, d, "data_input").where("answer is not null").groupBy("data_source").agg(F.count("*").alias("rows"), F.count_if(F.upper(F.trim("answer")) == F.upper(F.coalesce("split", F.lit("")))).alias("odd"), F.round(F.avg((up == "A").cast("int")), 6).alias("share_a"))
+    """Accuracy of votes in any case, over questions with a truth and without an error."""
+    q = F.col("qid")
+    rows = questions(spark, d).select("qid", "method", F.when(q % 2 == 0, F.lower("vote")).otherwise(F.col("vote")).alias("vote"), F.when(q % 9 == 0, "").otherwise(F.col("gt")).alias("gt"))
+    return answers.caseless_accuracy(rows, failed=q % 13 == 0, keys=["method"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("SELECT count(*) AS total, count(v.video_id) AS matched, round(count(v.video_id) / count(*), 6) AS coverage FROM data_input i LEFT JOIN (SELECT DISTINCT video_id FROM video_info) v ON i.video_id = v.video_id")

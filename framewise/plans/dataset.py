@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions import text as T
@@ -43,8 +44,7 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d).select("entry_id")
     total = rows.count()
     placed = dataset.ranked(rows, [dataset.shuffle_key(F.col("entry_id"), 42), F.col("entry_id")])
-    parts = [dataset.contiguous_shard(placed, total, r, 4).withColumn("shard", F.lit(r).cast("long")) for r in range(4)]
-    return dataset.round_robin(dataset.merged(parts).withColumn("keep", F.col("shard")), 3).select("entry_id", "place", F.col("keep").alias("shard"), F.col("shard").alias("robin"))
+    return dataset.round_robin(placed.withColumn("part", dataset.shard_of(F.col("place"), F.lit(total), 4)), 3).select("entry_id", "place", F.col("part").alias("shard"), F.col("shard").alias("robin"))
 
 
 @query(f"SELECT entry_id FROM data_input ORDER BY {KEY}, entry_id LIMIT 200")
@@ -114,12 +114,13 @@ def running_index(spark: SparkSession, d: str) -> DataFrame:
     return dataset.running_offset(entries(spark, d).select("data_source", "entry_id"), "data_source", "entry_id").select("data_source", "entry_id", F.col("index").cast("long").alias("index"))
 
 
-@query("""WITH w AS (SELECT data_source, video_id, list_distinct(list(CASE WHEN entry_id % 2 = 0 THEN question END)) AS asked, count(*) FILTER (WHERE entry_id % 2 = 0 AND question IS NOT NULL) AS k FROM data_input WHERE entry_id % 5 < 2 AND video_id IS NOT NULL GROUP BY 1, 2)
-SELECT e.entry_id FROM data_input e JOIN w ON e.data_source = w.data_source AND e.video_id = w.video_id WHERE k = 0 OR list_contains(asked, e.question)""")
+@query("""WITH w AS (SELECT data_source, video_id, count(question) AS k FROM data_input WHERE split = 'validation' AND video_id IS NOT NULL AND data_source IS NOT NULL GROUP BY 1, 2)
+SELECT e.entry_id FROM data_input e JOIN w ON e.data_source = w.data_source AND e.video_id = w.video_id WHERE k = 0
+ OR EXISTS (SELECT 1 FROM data_input q WHERE q.split = 'validation' AND q.data_source = e.data_source AND q.video_id = e.video_id AND q.question = e.question)""")
 def selected_members(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of wanted videos and questions; no question wanted means all."""
-    wanted = entries(spark, d).where("entry_id % 5 < 2 and video_id is not null").select("data_source", "video_id", F.when(F.col("entry_id") % 2 == 0, F.col("question")).alias("q"))
-    return dataset.members(entries(spark, d).withColumn("q", F.col("question")), wanted, ["data_source", "video_id"], "q").select("entry_id")
+    """Rows of the videos and questions that validation asks; a video it asks no question of counts whole."""
+    wanted = entries(spark, d).where("split = 'validation' and video_id is not null").select("data_source", "video_id", "question")
+    return dataset.members(entries(spark, d), wanted, ["data_source", "video_id"], "question").select("entry_id")
 
 
 @query("SELECT entry_id FROM data_input WHERE NOT regexp_matches(video_id, 'burned|mkv|raw') AND contains(question, 'the')")
@@ -165,9 +166,9 @@ SELECT video_id, coalesce(caps[1], '') || '|' || coalesce(caps[3], '') AS picked
 def picked_captions(spark: SparkSession, d: str) -> DataFrame:
     """Captions chosen by a 1-based list of places."""
     rows = table(spark, d, "window_subtitles").where("video_id is not null and size(subtitles) > 0").groupBy("video_id", "window_start").agg(F.max_by("subtitles", "loaded_at").alias("s"))
-    caps = rows.groupBy("video_id").agg(F.array_sort(F.array_agg(F.struct("window_start", F.col("s")[0].alias("c")))).alias("caps"))
-    pick = lambda i: F.coalesce(F.try_element_at("caps", F.lit(i))["c"], F.lit(""))
-    return caps.select("video_id", F.concat(pick(1), F.lit("|"), pick(3)).alias("picked"))
+    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy("window_start"))).where("place <= 3")
+    pick = lambda i: F.coalesce(F.max(F.when(F.col("place") == i, F.col("s")[0])), F.lit(""))
+    return placed.groupBy("video_id").agg(F.concat(pick(1), F.lit("|"), pick(3)).alias("picked"))
 
 
 @query("""WITH a AS (SELECT video_id, min(entry_id) AS pos FROM data_input WHERE video_id IS NOT NULL GROUP BY 1), t AS (SELECT * FROM a WHERE video_id NOT IN (SELECT video_id FROM frame_subtitles WHERE video_id IS NOT NULL))
@@ -189,8 +190,7 @@ def result_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH p AS (SELECT video_id, entry_id, row_number() OVER (ORDER BY entry_id) - 1 AS place FROM data_input), r AS (SELECT o_orderkey AS qid, 'v' || lpad((o_orderkey % 2 * 7)::VARCHAR, 9, '0') AS video_id FROM orders) SELECT qid, p.entry_id FROM r JOIN p ON r.qid = p.place AND r.video_id = p.video_id")
 def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Rows found by position, only where the video agrees."""
-    rows = entries(spark, d).select("video_id", "entry_id", F.lit("x").alias("file"))
-    placed = dataset.running_offset(rows, "file", "entry_id")
+    placed = dataset.running_offset(entries(spark, d).select("video_id", "entry_id"), None, "entry_id")
     r = table(spark, d, "orders").select(F.col("o_orderkey").alias("index"), F.concat(F.lit("v"), F.lpad((F.col("o_orderkey") % 2 * 7).cast("string"), 9, "0")).alias("video_id"))
     return r.join(placed, ["index", "video_id"]).select(F.col("index").alias("qid"), "entry_id")
 
@@ -203,12 +203,12 @@ def precomputed_frames(spark: SparkSession, d: str) -> DataFrame:
     return w.join(f, ["video_id", "window_idx"], "left").groupBy("video_id", "window_idx").agg(F.coalesce(F.min("frame_idx"), F.lit(-1)).alias("first_frame"))
 
 
-@query("SELECT video_id, paths.subtitle_path AS subtitle_path, min(entry_id) AS entry_id FROM data_input WHERE video_id IS NOT NULL AND paths.subtitle_path IS NOT NULL AND data_source <> 'slowreel' GROUP BY 1, 2")
+@query("""SELECT video_id, paths.subtitle_path AS subtitle_path, min(entry_id) AS entry_id FROM data_input WHERE video_id IS NOT NULL AND paths.subtitle_path IS NOT NULL
+AND video_id NOT IN (SELECT video_id FROM frame_subtitles WHERE video_id IS NOT NULL) GROUP BY 1, 2""")
 def burn_list(spark: SparkSession, d: str) -> DataFrame:
-    """Work list without repeats and without what is done."""
-    rows = entries(spark, d).where("video_id is not null and paths.subtitle_path is not null").select("video_id", "paths.subtitle_path", "entry_id", "data_source")
-    todo = dataset.keep_first(rows.where("data_source <> 'slowreel'"), ["video_id", "subtitle_path"], ["entry_id"])
-    return todo.select("video_id", "subtitle_path", "entry_id")
+    """Work list without repeats and without the videos that are done, here those with frame subtitles."""
+    rows = entries(spark, d).where("video_id is not null and paths.subtitle_path is not null").select("video_id", "paths.subtitle_path", "entry_id")
+    return answers.resume(dataset.keep_first(rows, ["video_id", "subtitle_path"], ["entry_id"]), table(spark, d, "frame_subtitles").select("video_id"), "video_id").select("video_id", "subtitle_path", "entry_id")
 
 
 @query("""SELECT entry_id, data_source, coalesce(video_id, '') AS video_id, coalesce(answer, '') AS ground_truth, 'rule' AS style, coalesce(split, 'train') AS split, coalesce(paths.video_path, paths.raw_video_path, '') AS path FROM data_input""")
@@ -262,8 +262,6 @@ def json_in_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT data_source, coalesce(split, 'none') AS split, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY data_source), 6)::DOUBLE AS share FROM data_input GROUP BY 1, 2")
 def split_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows per split with their share of the source."""
-    from pyspark.sql import Window as W
-
     g = entries(spark, d).groupBy("data_source", F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n"))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("data_source")), 6))
 

@@ -49,14 +49,14 @@ def top_subtitles(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_subtitles(rows, probes(spark, d).drop("proposition"), 4)
 
 
-@query(f"""WITH {WIN}, p AS (SELECT vec_id AS pid, CASE WHEN vec_id % 3 = 0 THEN 'subtitle_' || vec_id % 4 ELSE 'p' || vec_id END AS proposition, embedding::DOUBLE[] AS pe FROM embeddings WHERE vec_id < 12)
-SELECT query_id, proposition, max(CASE WHEN starts_with(proposition, 'subtitle_') THEN CASE WHEN contains(proposition, (query_id % 4)::VARCHAR) THEN 1e0 ELSE 0e0 END ELSE round(list_cosine_similarity(e, pe), 6) END) AS score
+@query(f"""WITH {WIN}, p AS (SELECT proposition, embedding::DOUBLE[] AS pe FROM probes)
+SELECT query_id, proposition, max(CASE WHEN starts_with(proposition, 'subtitle_') THEN CASE WHEN contains(proposition, CASE WHEN query_id % 2 = 0 THEN 'ferry' ELSE 'harbour' END) THEN 1e0 ELSE 0e0 END ELSE round(list_cosine_similarity(e, pe), 6) END) AS score
 FROM (SELECT item % 5 AS query_id, e FROM w), p GROUP BY 1, 2""")
 def proposition_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Propositions against retrieved windows."""
-    got = windows(spark, d).where(F.col("video_id").isNotNull() & vector.usable(F.col("embedding"))).select((F.col("item") % 5).alias("query_id"), "embedding", ((F.col("item") % 5) % 4).cast("string").alias("asked"))
-    props = table(spark, d, "embeddings").where("vec_id < 12").select(F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("subtitle_"), (F.col("vec_id") % 4).cast("string"))).otherwise(F.concat(F.lit("p"), F.col("vec_id").cast("string"))).alias("proposition"), F.col("embedding").alias("proposition_embedding"))
-    return retrieval.proposition_scores(got, props, "asked")
+    """Propositions against retrieved windows, those about subtitles against the query's text."""
+    good = windows(spark, d).where(F.col("video_id").isNotNull() & vector.usable(F.col("embedding")))
+    got = good.select((F.col("item") % 5).alias("query_id"), "embedding").withColumn("asked", F.when(F.col("query_id") % 2 == 0, "ferry").otherwise("harbour"))
+    return retrieval.proposition_scores(got, probes(spark, d).select("proposition", F.col("query_embedding").alias("proposition_embedding")), "asked")
 
 
 @query("""WITH s AS (SELECT e.vec_id AS clip, p.probe_id AS label, 100 * list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS z FROM embeddings e, probes p),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.functions import timeline as T
@@ -109,21 +110,35 @@ def srt_cues(spark: SparkSession, d: str) -> DataFrame:
     return parse_srt(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("srt")), ["id"], "srt")
 
 
-@query("""WITH c AS (SELECT event_id, value - 20 AS s, value - 20 + (event_id % 5) * 0.4 AS e, 60e0 AS dur FROM events), r AS (SELECT event_id, CASE WHEN e - s < 1 THEN (s + e) / 2 - 0.5 ELSE s END AS a, CASE WHEN e - s < 1 THEN (s + e) / 2 + 0.5 ELSE e END AS b, dur FROM c)
-SELECT event_id, round(greatest(0, a), 6) AS start, round(least(dur, b), 6) AS "end" FROM r WHERE b >= 0 AND a <= dur""")
+@query("""WITH c AS (SELECT event_id, value - 20 - event_id % 3 AS s, CASE WHEN event_id % 11 = 0 THEN 60e0 ELSE value - 20 + (event_id % 5) * 0.4 END - event_id % 3 AS e, 60e0 AS dur FROM events),
+r AS (SELECT event_id, s, e, CASE WHEN e - s < 1 THEN (s + e) / 2 - 0.5 ELSE s END AS a, CASE WHEN e - s < 1 THEN (s + e) / 2 + 0.5 ELSE e END AS b, dur FROM c)
+SELECT event_id, round(greatest(0, a), 6) + 0e0 AS start, round(least(dur, b), 6) + 0e0 AS "end", round((s + e) / 2, 6) + 0e0 AS middle FROM r WHERE b >= 0 AND a <= dur""")
 def repaired_cues(spark: SparkSession, d: str) -> DataFrame:
-    """T4 T5: cues lengthened to a second and cut at the video's ends."""
-    start = F.col("value") - 20
-    cue = T.repaired_cue(start, T.cue_end((start + (F.col("event_id") % 5) * 0.4).cast("string"), F.lit(60.0)), F.lit(60.0))
-    return table(spark, d, "events").select("event_id", cue.alias("c")).where("c is not null").select("event_id", F.round("c.start", 6).alias("start"), F.round("c.end", 6).alias("end"))
+    """T4 T5: cues moved by the video's start, lengthened to a second and cut at its ends; an end that is no number is the video's."""
+    start, offset = F.col("value") - 20, F.col("event_id") % 3
+    end = F.when(F.col("event_id") % 11 == 0, "end").otherwise((start + (F.col("event_id") % 5) * 0.4).cast("string"))
+    at = T.cue_span(start, end, offset, F.lit(60.0))
+    cue = T.repaired_cue(at["start"], at["end"], F.lit(60.0))
+    return table(spark, d, "events").select("event_id", cue.alias("c"), at["middle"].alias("middle")).where("c is not null").select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for c, n in (("c.start", "start"), ("c.end", "end"), ("middle", "middle"))])
 
 
-@query("SELECT DISTINCT video_id, frame_width AS w, frame_height AS h, round(least(1, 448e0 / frame_width, 336e0 / frame_height), 6) AS box, round(least(1, 512e0 / greatest(frame_width, frame_height)), 6) AS side FROM video_info WHERE frame_width > 0 AND frame_height > 0")
+RATIOS = sorted({(i, j) for i in range(1, 7) for j in range(1, 7) if i * j <= 6}, key=lambda r: (r[0] * r[1], r))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT video_id, frame_width AS w, frame_height AS h FROM video_info WHERE frame_width > 0 AND frame_height > 0),
+r AS (SELECT * FROM (VALUES {', '.join(f'({k}, {i}, {j})' for k, (i, j) in enumerate(RATIOS))}) AS r(k, i, j)),
+o AS (SELECT video_id, w, h, k, i, j, abs(w::DOUBLE / h - i::DOUBLE / j) AS d FROM f, r), m AS (SELECT *, min(d) OVER (PARTITION BY video_id, w, h) AS least FROM o),
+c AS (SELECT *, min(k) OVER (PARTITION BY video_id, w, h) AS first FROM m WHERE d = least),
+b AS (SELECT video_id, w, h, arg_max(i || 'x' || j, k) AS tiles FROM c WHERE k = first OR w * h > 0.5 * 448 * 448 * i * j GROUP BY 1, 2, 3)
+SELECT video_id, w, h, round(least(1, 448e0 / w, 336e0 / h), 6) AS box, round(least(1, 512e0 / greatest(w, h)), 6) AS side, tiles
+FROM f JOIN b USING (w, h) WHERE f.video_id IS NOT DISTINCT FROM b.video_id""".replace("SELECT video_id, w, h, round(least(1, 448e0", "SELECT f.video_id, w, h, round(least(1, 448e0"))
 def frame_scales(spark: SparkSession, d: str) -> DataFrame:
-    """Factors that fit frames into a box or a longest side."""
+    """Factors that fit frames into a box or a longest side, and the tiling of the closest aspect ratio."""
     w, h = F.col("frame_width"), F.col("frame_height")
     rows = table(spark, d, "video_info").where("frame_width > 0 and frame_height > 0")
-    return rows.select("video_id", w.alias("w"), h.alias("h"), F.round(T.fit_scale(w, h, 448, 336), 6).alias("box"), F.round(T.longest_side_scale(w, h, 512), 6).alias("side")).distinct()
+    best = T.closest_ratio(w, h, RATIOS, 448)
+    tiles = F.concat(best[0].cast("string"), F.lit("x"), best[1].cast("string"))
+    return rows.select("video_id", w.alias("w"), h.alias("h"), F.round(T.fit_scale(w, h, 448, 336), 6).alias("box"), F.round(T.longest_side_scale(w, h, 512), 6).alias("side"), tiles.alias("tiles")).distinct()
 
 
 @query("""SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(list_concat(range(p_size::BIGINT, p_size::BIGINT + 4), range(greatest(p_partkey % 9 - 3, 0), p_partkey % 9 + 4)))), ',') AS frames,
@@ -159,6 +174,8 @@ f AS (SELECT video_id, flatten(list_transform(ws, lambda x: range(x * 8, x * 8 +
 SELECT video_id, array_to_string(CASE WHEN len(fr) > 16 THEN list_transform(range(16), lambda i: list_extract(fr, 1 + floor(i * (len(fr) - 1) / 15)::BIGINT)) ELSE fr END, ',') AS frames FROM f""")
 def limited_frames(spark: SparkSession, d: str) -> DataFrame:
     """Retrieved windows in order, expanded to frames, at most 16 spread evenly."""
-    w = table(spark, d, "window_embeddings").where("video_id is not null").groupBy("video_id").agg(F.slice(F.array_sort(F.collect_set("window_idx")), 1, 4).alias("ws"))
+    distinct = table(spark, d, "window_embeddings").where("video_id is not null and window_idx is not null").select("video_id", "window_idx").distinct()
+    first = distinct.withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy("window_idx"))).where("place <= 4")
+    w = first.groupBy("video_id").agg(F.array_sort(F.array_agg("window_idx")).alias("ws"))
     frames = w.select("video_id", F.flatten(F.transform("ws", lambda x: F.sequence(x * 8, x * 8 + 7))).alias("fr"))
     return frames.select("video_id", joined(F.transform(T.uniform_sample(F.size("fr"), 16), lambda i: F.col("fr")[i])).alias("frames"))

@@ -35,7 +35,7 @@ def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
 
 CASES = "concat_ws('', CASE doc_id % 7 WHEN 0 THEN 'So \\boxed{' || (doc_id % 12) || '}' WHEN 1 THEN 'Answer: ' || chr((65 + doc_id % 7)::INT) || ' because' WHEN 2 THEN 'I take option ' || (doc_id % 9) WHEN 3 THEN '(' || chr((65 + doc_id % 6)::INT) || ') is right' WHEN 4 THEN ' 0' || (doc_id % 10) || ' ' WHEN 5 THEN 'choice b' ELSE 'unclear' END)"
 TOKEN = "CASE WHEN regexp_full_match({t}, '\\d+') THEN CAST(CAST({t} AS INT) AS VARCHAR) WHEN regexp_full_match({t}, '[A-Fa-f]') THEN CAST(ascii(upper({t})) - 65 AS VARCHAR) END"
-LABELS = "coalesce(" + ", ".join(TOKEN.format(t=STRIP.format(x=f"list_extract(regexp_extract_all(s, '{p}', 1), 1)")) for p in ("\\\\boxed\\{([^{}]+)\\}", "(?i)\\banswer\\s*(?:is|:)?\\s*([A-F]|\\d{1,2})\\b", "(?i)\\boption\\s*([A-F]|\\d{1,2})\\b", "(?i)\\bchoice\\s*([A-F]|\\d{1,2})\\b", "^\\s*[(\\[]?\\s*([A-F]|\\d{1,2})\\s*[)\\].,:\\-\\s]")) + ", " + TOKEN.format(t="s") + ")"
+LABELS = "coalesce(" + ", ".join(TOKEN.format(t=STRIP.format(x=f"list_extract(regexp_extract_all(s, '{p}', 1), 1)")) for p in T.CHOICE_PATTERNS) + ", " + TOKEN.format(t="s") + ")"
 
 
 @query(f"WITH c AS (SELECT doc_id, {STRIP.format(x=CASES)} AS s FROM documents) SELECT doc_id, {LABELS} AS label FROM c")
@@ -193,17 +193,18 @@ def free_answers(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where("kind = 'reasoning'").select("doc_id", T.remove_blocks(F.col("text")).alias("answer"), T.thinking(F.col("text")).alias("thinking"))
 
 
-OPT = "list_transform(string_split(options, ' | '), lambda x, i: (i - 1) || {s} || x)"
+OPTIONS = r"""o AS (SELECT entry_id, question, coalesce(CASE WHEN starts_with(options, '[') THEN TRY_CAST(TRY_CAST(options AS JSON) AS VARCHAR[]) END,
+ CASE WHEN contains(options, ' | ') THEN string_split(options, ' | ') ELSE list_transform(list_filter(string_split(replace(options, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '[^ \t]')), lambda x: regexp_replace(x, '^[ \t]*[(\[]?(?:[A-Za-z]|[0-9]{1,2})[.):\]][ \t]+', '')) END) AS o FROM data_input)"""
+OPT = "array_to_string(list_transform(o, lambda x, i: (i - 1) || {s} || x), chr(10))"
 
 
-@query(f"""SELECT entry_id, {STRIP.format(x='question')} || chr(10) || array_to_string({OPT.format(s="') '")}, chr(10)) AS lvb, {STRIP.format(x='question')} || chr(10) || array_to_string({OPT.format(s="' '")}, chr(10)) AS mlvu,
-'Question: ' || {STRIP.format(x='question')} || chr(10) || replace(options, ' | ', chr(10)) AS videomme, array_to_string({OPT.format(s="'. '")}, chr(10)) AS eval,
-array_to_string(list_slice(list_concat(string_split(options, ' | '), ['', '', '', '', '']), 1, 5), ';') AS padded FROM data_input WHERE contains(options, ' | ') AND regexp_matches(question, '^[\\x00-\\x7f]*$')""")
+@query(f"""WITH {OPTIONS} SELECT entry_id, {STRIP.format(x='question')} || chr(10) || {OPT.format(s="') '")} AS lvb, {STRIP.format(x='question')} || chr(10) || {OPT.format(s="' '")} AS mlvu,
+'Question: ' || {STRIP.format(x='question')} || chr(10) || array_to_string(o, chr(10)) AS videomme, {OPT.format(s="'. '")} AS eval, CASE WHEN o IS NOT NULL THEN array_to_string(list_slice(list_concat(o, ['', '', '', '', '']), 1, 5), ';') END AS padded FROM o""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt and option texts of each dataset's style, options padded to five."""
+    """Prompt and option texts of each dataset's style, options of any notation padded to five."""
     from framewise.operators.dataset import padded
 
-    rows = table(spark, d, "data_input").where(F.contains("options", F.lit(" | ")) & F.rlike("question", F.lit(r"^[\x00-\x7f]*$"))).withColumn("o", F.split("options", r" \| "))
+    rows = table(spark, d, "data_input").withColumn("o", T.option_list(F.col("options")))
     p = lambda name: T.prompt_text(F.col("question"), F.col("o"), name).alias(name)
     return rows.select("entry_id", p("lvb"), p("mlvu"), p("videomme"), T.option_lines(F.col("o"), "dot").alias("eval"), F.array_join(padded(F.col("o")), ";").alias("padded"))
 

@@ -43,8 +43,25 @@ def test_fuzzy_and_substring_matches(spark):
     files = spark.createDataFrame([("Clip_One",), ("x_b2_y",), ("a_b2",)], "name string")
     got = sorted((r.key, r.name, r.exact) for r in D.fuzzy_match(wanted, files, "key", "name").collect())
     assert got == [("b-2", "a_b2", False), ("clip one", "Clip_One", True)]
-    with pytest.raises(ValueError):
-        D.substring_join(wanted, "key", files, "name", most=2)
+
+
+def test_substring_join_goes_on_beyond_the_broadcast(spark):
+    big = spark.createDataFrame([(1, "abcab"), (2, "xyz"), (3, ""), (4, None)], "i int, text string")
+    small = spark.createDataFrame([("ab",), ("z",), ("",), ("片",), (None,)], "part string")
+    rows = lambda most: sorted((r.i, r.part) for r in D.substring_join(big, "text", small, "part", most).collect())
+    assert rows(10) == rows(2) == [(1, ""), (1, "ab"), (2, ""), (2, "z"), (3, "")]
+
+
+def test_positions_are_global_whatever_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART_ROWS", 7)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("n"), F.format_string("f%d", F.col("id") % 3).alias("file"))
+    assert [r["index"] for r in D.running_offset(df, None, "n").orderBy("n").collect()] == list(range(1000))
+    assert [r["index"] for r in D.running_offset(df, "file", "n").orderBy("file", "n").collect()] == list(range(1000))
+    placed = D.ranked(df, [D.shuffle_key(F.col("n"), 1), F.col("n")], parts=40).withColumn("h", D.shuffle_key(F.col("n"), 1))
+    assert [r.place for r in placed.orderBy("h", "n").collect()] == list(range(1000))
+    cut = placed.withColumn("shard", D.shard_of(F.col("place"), F.lit(1000), 7)).groupBy("shard").agg(F.count("*").alias("n"), F.min("place").alias("a")).orderBy("shard").collect()
+    assert [r.n for r in cut] == [143] * 6 + [142] and cut[-1].a == 858
+    assert D.contiguous_shard(placed, 1000, 6, 7).count() == 142
 
 
 def test_fuzzy_match_takes_any_number_of_keys(spark):
@@ -66,3 +83,10 @@ def test_repaired_rows_cast_nested_ids(spark):
 def test_padding(spark):
     row = spark.range(1).select(D.padded(F.array(F.lit("a"))).alias("a"), D.padded(F.array(*[F.lit(str(i)) for i in range(7)])).alias("b"), D.padded(F.array(*[F.lit(str(i)) for i in range(7)]), cut=False).alias("c")).first()
     assert row.a == ["a", "", "", "", ""] and row.b == list("01234") and len(row.c) == 7
+
+
+def test_members_by_key_and_question(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3), (3, "d", 4), (1, None, 5)], "k int, q string, id int")
+    wanted = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (1, None)], "k int, q string")
+    assert sorted(r.id for r in D.members(df, wanted, ["k"], "q").collect()) == [1, 3]
+    assert sorted(r.id for r in D.members(df, wanted, ["k"]).collect()) == [1, 2, 3, 5]

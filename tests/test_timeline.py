@@ -63,3 +63,17 @@ def test_top_windows_ties_and_bad_vectors(spark):
     queries = spark.createDataFrame([(1, e(1.0))], "query_id int, query_embedding array<float>")
     top = lambda k: sorted((r.video_id, r["rank"], r.item) for r in R.top_windows(windows, queries, k).collect())
     assert top(1) == [("v", 1, 1), ("w", 1, 8)] and set(top(1)) <= set(top(9)) and len(top(9)) == 3
+
+
+def test_closest_ratio_and_image_cap(spark):
+    ratios = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
+    df = spark.createDataFrame([(400, 400), (900, 900), (640, 480), (1500, 500), (100, 200)], "w int, h int")
+    got = df.select(T.closest_ratio(F.col("w"), F.col("h"), ratios, 448).alias("r")).collect()
+    assert [tuple(r.r) for r in got] == [(1, 1), (2, 2), (3, 2), (2, 1), (1, 2)]
+    caps = spark.createDataFrame([(16, 0), (16, 140), (16, 150), (16, 151)], "g int, b int").select(T.capped_images(F.col("g"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in caps] == [16, 10, 0, 0]
+
+
+def test_cue_span_moves_by_the_start_of_the_video(spark):
+    r = spark.range(1).select(T.cue_span(F.lit(7.0), F.lit("end"), F.lit(2.0), F.lit(12.0)).alias("s"), T.cue_span(F.lit(7.0), F.lit("9.0"), F.lit(2.0), F.lit(12.0)).alias("t")).first()
+    assert tuple(r.s) == (5.0, 10.0, 7.5) and tuple(r.t) == (5.0, 7.0, 6.0)
