@@ -4,7 +4,8 @@ Every distinct vector gets ``CODE_BITS`` sign bits under rotations learned on a
 ``TABLES`` substrings of the code, each about log2(n) bits long, are indexed; a substring's bucket and all buckets within
 ``RADIUS`` bits of it are probed.  By the pigeonhole rule that retrieves every pair of codes whose substrings' bits differ
 in at most ``TABLES * (RADIUS + 1) - 1`` places together, and most pairs beyond.  Pairs whose whole codes are close are
-reranked by their floats.
+reranked by their floats.  How close, and how many tables it takes, follows from the least similarity asked for
+(:func:`plan_search`); where too many would be needed, the exact way compares all vectors block by block.
 
 Tables are cut into blocks by the leading bits of the substring once they exceed ``BLOCK_ROWS`` vectors; a vector is then
 sent to the blocks its probes reach, so a task holds one block whatever the collection's size.  No bucket is capped.
@@ -17,7 +18,9 @@ few rows.  Similarity is the cosine rounded to 6 decimals; equal ones go by smal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import ceil, comb, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,15 @@ RADIUS = 2
 BLOCK_ROWS = 1 << 20
 #: Vectors the rotations are learned on.
 SAMPLE = 6_000
-#: Whole codes further apart are not reranked: at the least similarity the mean is 15, the deviation under 4.
-NEAR_BITS = 29
-#: The same for the first 64 bits (mean 8, deviation under 3).
-NEAR_HALF = 20
-#: Bits of the fixed-size filter that keeps the floats of candidates.
-FILTER_BITS = 1 << 24
+#: Share of the pairs of the least similarity that the tables must be expected to retrieve, and the most tables for that.
+EXPECTED, MOST_TABLES = 0.98, 48
+#: Codes are near if they are at most the mean and so many deviations apart for the least similarity: whole, first half.
+SLACK, HALF_SLACK = 4.0, 5.0
+#: Bits of the filter that keeps the floats of candidates: so many times their ids, within bounds (8 MB are broadcast at
+#: most).  A fuller filter only lets more floats through to the joins, which take those of candidates alone.
+FILTER_SHARE, LEAST_FILTER, MOST_FILTER = 8, 1 << 20, 1 << 26
+#: Vectors in each of the two blocks that a task of the exact way compares.
+EXACT_ROWS = 20_000
 #: Odd factor below 2^31 that spreads 32 bits over the filter without overflow.
 MIX = 0x5E3779B1
 
@@ -87,10 +93,41 @@ def coder(centre: np.ndarray, turn: np.ndarray):
     return run
 
 
-def substring_bits(bits: int) -> list[np.ndarray]:
-    """Places of the code each table reads; fixed by the code's length."""
-    order = np.random.default_rng(11).permutation(CODE_BITS)
-    return [np.take(order, range(t * bits, (t + 1) * bits), mode="wrap") for t in range(TABLES)]
+@dataclass(frozen=True)
+class Search:
+    """Bits of a substring and of the block number in it, tables, and the most bits near codes differ in (whole, first half)."""
+
+    bits: int
+    block_bits: int
+    tables: int
+    near: int
+    near_half: int
+
+
+def plan_search(n: int, least: float) -> Search:
+    """How to search ``n`` codes for pairs of at least this cosine.
+
+    The bits of two codes differ with a chance of angle / pi.  A table retrieves a pair if its substrings differ in
+    ``RADIUS`` bits at most, so the chance of all tables missing it tells how many are needed.
+    """
+    bits = min(30, max(10, int(np.ceil(np.log2(max(n, 2))))))
+    p = float(np.arccos(np.clip(least, -1.0, 1.0)) / np.pi)
+    found = sum(comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(RADIUS + 1))
+    tables = TABLES if found >= 1 else max(TABLES, ceil(log(1 - EXPECTED) / log(1 - found))) if found > 0 else MOST_TABLES + 1
+    if tables > MOST_TABLES:
+        raise ValueError(f"{tables} tables would be needed for a similarity of {least}; use exact=True")
+    far = lambda size, slack: int(size * p + slack * sqrt(size * p * (1 - p)))
+    return Search(bits, max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS)))), tables, far(CODE_BITS, SLACK), far(CODE_BITS // 2, HALF_SLACK))
+
+
+def substring_bits(bits: int, tables: int) -> list[np.ndarray]:
+    """Places of the code each table reads, fixed by the numbers: the code in a random order, and in others when it is used up."""
+    random = np.random.default_rng(11)
+    order = np.concatenate([random.permutation(CODE_BITS) for _ in range(-(-bits * tables // CODE_BITS))])
+    if bits * tables > CODE_BITS:  # a substring never holds a bit twice
+        each = CODE_BITS // bits
+        order = np.concatenate([order[k * CODE_BITS : k * CODE_BITS + each * bits] for k in range(len(order) // CODE_BITS)] + [random.permutation(CODE_BITS)[: each * bits] for _ in range(tables)])
+    return [order[t * bits : (t + 1) * bits] for t in range(tables)]
 
 
 def substring_key(c1: Column, c2: Column, places: np.ndarray) -> Column:
@@ -115,7 +152,7 @@ def masks(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(most + 1) for c in combinations(range(bits), r)]
 
 
-def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int, at_home: np.ndarray, radius: np.ndarray, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int, at_home: np.ndarray, radius: np.ndarray, search: Search, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a block whose keys are within the radius and whose whole codes are near.
 
     Rows ``at_home`` are indexed and probe each other once; the others only probe, with the radius their block leaves.
@@ -141,11 +178,11 @@ def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int,
             shift = first[begin:end] - (np.cumsum(n, dtype=np.int32) - n)
             right = np.repeat(shift, n)
             right += np.arange(len(right), dtype=np.int32)
-            # The first half alone drops nearly all: at the least similarity it differs in 8 bits of 64, deviation under 3.
+            # The first half alone drops nearly all.
             half = np.bitwise_count(probing[0][left] ^ own[0][right])
-            close = np.flatnonzero(half <= NEAR_HALF)
+            close = np.flatnonzero(half <= search.near_half)
             left, right = left[close], right[close]
-            near = np.flatnonzero(half[close] + np.bitwise_count(probing[1][left] ^ own[1][right]) <= NEAR_BITS)
+            near = np.flatnonzero(half[close] + np.bitwise_count(probing[1][left] ^ own[1][right]) <= search.near)
             if len(near):
                 yield probing_ids[left[near]], ids[order[right[near]]]
             begin = end
@@ -171,9 +208,10 @@ def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int,
 PAIRS = "u long, v long"
 
 
-def block_search(bits: int, block_bits: int):
+def block_search(search: Search):
     """Search every (table, block) that a partition holds."""
-    places = substring_bits(bits)
+    bits, block_bits = search.bits, search.block_bits
+    places = substring_bits(bits, search.tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -187,45 +225,88 @@ def block_search(bits: int, block_bits: int):
         for one in np.unique(task):
             here = np.flatnonzero(task == one)
             key = read_key(codes[here], places[int(one) >> block_bits]) & ((1 << (bits - block_bits)) - 1)
-            found = [(np.minimum(x, y), np.maximum(x, y)) for x, y in close_pairs(ids[here], codes[here], key, bits - block_bits, radius[here] == RADIUS, radius[here])]
+            found = [(np.minimum(x, y), np.maximum(x, y)) for x, y in close_pairs(ids[here], codes[here], key, bits - block_bits, radius[here] == RADIUS, radius[here], search)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["u", "v"])
 
     return run
 
 
-def candidate_pairs(codes: DataFrame, n: int) -> DataFrame:
+def candidate_pairs(codes: DataFrame, search: Search) -> DataFrame:
     """Distinct pairs u < v of ``codes`` (vec_id, c1, c2) that the tables retrieve, near by whole code."""
-    bits = min(30, max(10, int(np.ceil(np.log2(max(n, 2))))))
-    block_bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS))))
-    places = substring_bits(bits)
+    bits, block_bits, tables = search.bits, search.block_bits, search.tables
+    places = substring_bits(bits, tables)
     inner = bits - block_bits
     routes = []
-    for t in range(TABLES):
+    for t in range(tables):
         home = F.shiftright(substring_key(F.col("c1"), F.col("c2"), places[t]), inner).cast("int") if block_bits else F.lit(0)
         for mask in masks(block_bits, RADIUS) if block_bits else [0]:
             there = home.bitwiseXOR(F.lit(mask))
             left = RADIUS - mask.bit_count()
             routes.append(F.when(there >= home, F.struct((F.lit(t << block_bits) + there).alias("task"), F.lit(left).alias("radius"))))
     sent = codes.select("vec_id", "c1", "c2", F.explode(F.array_compact(F.array(*routes))).alias("r")).select("vec_id", "c1", "c2", "r.task", "r.radius")
-    return sent.repartitionById(TABLES << block_bits, F.col("task")).mapInArrow(block_search(bits, block_bits), PAIRS).distinct()
+    return sent.repartitionById(tables << block_bits, F.col("task")).mapInArrow(block_search(search), PAIRS).distinct()
 
 
-def filter_slot(column: str) -> Column:
-    """Place of an integer in the filter; :func:`slot` is the same in numpy."""
-    return F.expr(f"shiftright((({column} ^ shiftrightunsigned({column}, 32)) & 4294967295L) * {MIX}L, 24) & {FILTER_BITS - 1}")
+def exact_pairs(items: DataFrame, reps: DataFrame, n: int, k: int, least: float, dim: int) -> DataFrame:
+    """Distinct pairs u < v of ``reps`` (vec_id), each among the other's best, by comparing all vectors block by block.
 
-
-def slot(values: np.ndarray) -> np.ndarray:
+    A block has about ``EXACT_ROWS`` vectors; a task holds two and leaves of each vector the k + 1 best of the other block.
+    The work grows with the square of n, the state of a task does not.
+    """
+    blocks = max(1, -(-n // EXACT_ROWS))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    sides = items.join(reps.select("vec_id"), "vec_id", "left_semi").select("vec_id", "embedding", own.alias("own"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    sent = sides.select("vec_id", "embedding", "own", other.alias("other")).select("vec_id", "embedding", (F.col("own") <= F.col("other")).alias("first"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, floats = block["vec_id"].to_numpy(), block["embedding"].combine_chunks()
+        rows, matrix = usable(floats, dim)
+        ids, unit = ids[rows], matrix.astype(np.float32).astype(np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        first = block["first"].to_numpy()[rows]
+        one_block = block["i"][0].as_py() == block["j"][0].as_py()
+        groups = [(np.arange(len(ids)), np.arange(len(ids)))] if one_block else [(np.flatnonzero(first), np.flatnonzero(~first)), (np.flatnonzero(~first), np.flatnonzero(first))]
+        us, vs = [], []
+        for a, b in groups:
+            for begin in range(0, len(a), 500):
+                part = a[begin : begin + 500]
+                sim = np.round(unit[part] @ unit[b].T, 6)
+                r, c = np.nonzero((sim >= least) & (ids[part][:, None] != ids[b][None, :]))
+                order = np.lexsort((ids[b[c]], -sim[r, c], r))
+                r, c = r[order], c[order]
+                starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, dtype=np.int64)
+                nth = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+                r, c = r[nth <= k], c[nth <= k]
+                us.append(ids[part[r]])
+                vs.append(ids[b[c]])
+        u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, vs))
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return sent.groupBy("i", "j").applyInArrow(compare, PAIRS).distinct()
+
+
+def filter_bits(ids: int) -> int:
+    """Size of a filter for so many ids: a power of two."""
+    return min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_SHARE * ids).bit_length()))
+
+
+def filter_slot(column: str, size: int) -> Column:
+    """Place of an integer in a filter of ``size`` bits; :func:`slot` is the same in numpy."""
+    return F.expr(f"shiftright((({column} ^ shiftrightunsigned({column}, 32)) & 4294967295L) * {MIX}L, 24) & {size - 1}")
+
+
+def slot(values: np.ndarray, size: int) -> np.ndarray:
     v = values.view(np.uint64)
-    return (((((v ^ (v >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) * np.uint64(MIX)) >> np.uint64(24)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (((((v ^ (v >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) * np.uint64(MIX)) >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds the slots of all ids (and so of some others), whatever their number."""
-    words = ids.select(filter_slot("id").alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+def id_filter(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit array of ``size`` that holds the slots of all ids (and so of some others)."""
+    words = ids.select(filter_slot("id", size).alias("at")).groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
     got = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out
 
@@ -247,10 +328,10 @@ def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(np.round(cosine, 6))], names=["u", "v", "sim"])
 
 
-def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int = 64) -> DataFrame:
+def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int = 64, exact: bool = False) -> DataFrame:
     """``vec_a < vec_b, sim``: b is among the k most similar of a or a among those of b, with similarity ``least`` or more.
 
-    ``items`` has vec_id (unique) and embedding.
+    ``items`` has vec_id (unique) and embedding.  With ``exact`` every two distinct vectors are compared, in blocks.
     """
     items = items.select("vec_id", "embedding")
     n = items.count()  # of all rows: no column is read for it
@@ -269,14 +350,20 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     w = W.partitionBy("h1", "h2").orderBy("vec_id")
     members = stored(coded.withColumn("nth", F.row_number().over(w)).withColumn("rep", F.first("vec_id").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("nth") <= k + 1))
     reps = members.where("nth = 1")
-    pairs = cut(candidate_pairs(reps.select("vec_id", "c1", "c2"), reps.count()))
+    if exact:
+        pairs = cut(exact_pairs(items, reps, reps.count(), k, least, dim))
+    else:
+        pairs = cut(candidate_pairs(reps.select("vec_id", "c1", "c2"), plan_search(reps.count(), least)))
 
     # One more look at the table: the floats of candidates, and the copies beyond the k + 1 smallest ids of crowded groups.
     crowded = members.where(F.col("nth") == k + 1).select("h1", "h2", F.col("rep").alias("x"), F.col("vec_id").alias("sixth"))
     any_crowded = not crowded.isEmpty()
     context = items.sparkSession.sparkContext
-    wanted = context.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id"))))
-    copied = context.broadcast(id_filter(crowded.select(F.col("h1").alias("id")))) if any_crowded else None
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    size = filter_bits(ends.count())
+    wanted = context.broadcast(id_filter(ends, size))
+    crowded_size = filter_bits(crowded.count()) if any_crowded else 0
+    copied = context.broadcast(id_filter(crowded.select(F.col("h1").alias("id")), crowded_size)) if any_crowded else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,13 +373,13 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
             more = np.zeros(len(rows), dtype=bool)
             if copied is not None and len(rows):
                 h = content_hashes(matrix)
-                more = in_filter(copied.value, slot(h[:, 0]))
+                more = in_filter(copied.value, slot(h[:, 0], crowded_size))
             hit = np.flatnonzero(near | more)
             floats = matrix.astype(np.float32)
             x = pa.array([floats[i].tobytes() if near[i] else None for i in hit], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(rows[hit])), x, *[pa.array(h[hit, j], mask=~more[hit]) for j in range(2)]], names=["id", "x", "h1", "h2"])
 
-    seen = stored(items.withColumn("at", filter_slot("vec_id")).mapInArrow(keep, "id long, x binary, h1 long, h2 long"))
+    seen = stored(items.withColumn("at", filter_slot("vec_id", size)).mapInArrow(keep, "id long, x binary, h1 long, h2 long"))
     floats = seen.where("x is not null").select("id", "x")
     scored = (
         pairs.join(floats.select(F.col("id").alias("u"), "x"), "u").join(floats.select(F.col("id").alias("v"), F.col("x").alias("y")), "v")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from framewise.llm import neighbours
 
@@ -39,6 +40,34 @@ def test_recall_and_copies_against_brute_force(spark):
     assert len(got & want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("least, dim", [(0.7, 64), (0.93, 32), (0.93, 256), (0.98, 64)])
+def test_recall_at_other_similarities_and_lengths(spark, least, dim):
+    matrix = collection(seed=6, dim=dim)
+    ids = np.arange(len(matrix)) * 2
+    want = brute(ids, matrix, 5, least)
+    got = {(r.vec_a, r.vec_b) for r in neighbours.similar_pairs(frame(spark, ids, matrix), 5, least, dim).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 0
+
+
+def test_exact_way_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT_ROWS", 150)
+    matrix = collection(seed=7)
+    ids = np.random.default_rng(1).permutation(len(matrix))
+    for least in (0.3, 0.93):
+        got = {(r.vec_a, r.vec_b) for r in neighbours.similar_pairs(frame(spark, ids, matrix), 3, least, exact=True).collect()}
+        assert got == brute(ids, matrix, 3, least)
+
+
+def test_search_follows_from_the_similarity():
+    plans = {s: neighbours.plan_search(700_000, s) for s in (0.9, 0.93, 0.98)}
+    assert plans[0.93].tables == 5 and plans[0.9].tables > 5 and plans[0.98].near < plans[0.93].near < plans[0.9].near
+    with pytest.raises(ValueError):
+        neighbours.plan_search(1 << 28, 0.5)
+    for bits, tables in ((20, 5), (20, 33), (13, 20)):
+        places = neighbours.substring_bits(bits, tables)
+        assert len(places) == tables and all(len(set(p.tolist())) == bits for p in places)
+
+
 def test_blocks_find_what_one_table_finds(spark, monkeypatch):
     matrix = collection(seed=4)
     ids = np.arange(len(matrix))
