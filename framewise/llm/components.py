@@ -3,7 +3,8 @@
 Components grow breadth first from many seeds at once over hash-partitioned adjacency lists.  A seed is a vertex whose
 hash is the least among its neighbours', so every component has one.  Where two labels meet on an edge, the pair of
 labels becomes an edge of a smaller graph, and the same routine runs on that graph until no labels meet.  All state
-stays in DataFrames; each round is cut by a checkpoint in the shared folder.
+stays in DataFrames; each round is cut by a checkpoint in the shared folder.  The adjacency lists are hash-partitioned once;
+a round moves only its frontier to them.
 """
 
 from __future__ import annotations
@@ -20,13 +21,31 @@ from framewise.llm.common import cut, spread
 from framewise.llm.normal import video_key, words_of
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Undirected ``edges`` (a, b) in both directions (src, dst), each once, written hash-partitioned by ``src``."""
+    found = edges.where("a <> b").select("a", "b")
+    both = found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(found.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    conf = edges.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    # An adaptive plan doesn't tell how its result is partitioned, so this one is planned without.
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(both.repartition(int(conf.get("spark.sql.shuffle.partitions")), "src").dropDuplicates(["src", "dst"]))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def reach(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Vertices next to the frontier (v, label) with the least label that reaches them."""
+    return edges.join(frontier, edges.src == frontier.v).groupBy("dst").agg(F.min("label").alias("label")).select(F.col("dst").alias("v"), "label")
+
+
 def label_by_frontier(edges: DataFrame) -> DataFrame:
     """One level: every vertex of ``edges`` (src, dst; both directions) with the label of a seed that reached it."""
     near = edges.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("v"))).alias("low"))
     labels = frontier = cut(near.where(F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("v")) < F.col("low")).select(F.col("src").alias("v"), F.col("src").alias("label")))
     for turn in range(1, 1_000_000):
-        reached = edges.join(frontier, edges.src == frontier.v).groupBy("dst").agg(F.min("label").alias("label"))
-        frontier = cut(reached.select(F.col("dst").alias("v"), "label").join(labels, "v", "left_anti"))
+        frontier = cut(reach(edges, frontier).join(labels, "v", "left_anti"))
         if frontier.isEmpty():
             return labels
         # The rounds are written ones already; their union is written anew only when it has grown long.
@@ -40,8 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops, nulls and repeated edges are ignored; a vertex without an edge to another has no row.
     """
-    found = edges.where("a <> b").select("a", "b")
-    both = cut(found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(found.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
+    both = adjacency(edges)
     if both.isEmpty():
         return both.select(F.col("src").alias("v"), F.col("dst").alias("component"))
     labels = label_by_frontier(both)
@@ -105,9 +123,13 @@ def grouped_splits(entries: DataFrame, plan: DataFrame, seed: int = 0) -> DataFr
     keys = cut(record_keys(entries))
     homes, edges = video_ties(keys)
     tied = components(edges).select(F.col("v").alias("video"), "component")
-    placed = keys.join(homes, "asked", "left").withColumn("video", F.coalesce("video", "home")).join(tied, "video", "left")
-    unit = F.coalesce("component", "video", F.concat(F.lit("question "), F.hex("asked")), F.concat(F.lit("row "), F.col("entry_id").cast("string")))
-    rows = cut(placed.select("entry_id", unit.alias("unit")))
+    # Rows without a video or question stay out of the joins on them, where they would all share one key.
+    own = keys.where("video is not null").select("entry_id", "video")
+    lent = keys.where("video is null and asked is not null").join(homes, "asked", "left")
+    videos = own.unionByName(lent.where("home is not null").select("entry_id", F.col("home").alias("video"))).join(tied, "video", "left")
+    alone = keys.where("video is null and asked is null").select("entry_id", F.concat(F.lit("row "), F.col("entry_id").cast("string")).alias("unit"))
+    by_question = lent.where("home is null").select("entry_id", F.concat(F.lit("question "), F.hex("asked")).alias("unit"))
+    rows = cut(videos.select("entry_id", F.coalesce("component", "video").alias("unit")).unionByName(by_question).unionByName(alone))
     sized = rows.groupBy("unit").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("unit", F.lit(seed))).withColumn("part", F.shiftright("h", 52) + RANGES // 2)
     sized = cut(sized)
     before, total = {}, 0

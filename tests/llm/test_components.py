@@ -71,3 +71,21 @@ def test_splits_keep_units_together_and_shares(spark):
             if key[1]:
                 by.setdefault(key, set()).add(got[k].split)
     assert all(len(s) == 1 for s in by.values())
+
+
+def test_a_round_moves_the_frontier_and_not_the_edges(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = components.adjacency(spark.createDataFrame([(f"v{k}", f"v{k * 7 % 90}") for k in range(300)], "a string, b string"))
+        frontier = spark.createDataFrame([("v1", "v1")], "v string, label string")
+        lines = components.reach(edges, frontier)._jdf.queryExecution().executedPlan().toString().splitlines()
+        # Two exchanges: of the frontier, and of what it reached; none lies over the scan of the edges.
+        assert sum("Exchange" in line for line in lines) == 2
+        scan = next(k for k, line in enumerate(lines) if "Scan ExistingRDD[src" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        over = [k for k in range(scan) if depth(lines[k]) < depth(lines[scan]) and "Exchange" in lines[k]]
+        join = next(k for k, line in enumerate(lines) if "Join" in line)
+        assert all(k < join for k in over)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
