@@ -1,7 +1,9 @@
 """Runs of one subtitle line shown over and over.
 
 Boundary-only rows: of the line events of a video only those stay that differ from their predecessor; ``lead`` over
-these starts gives each run's end (the next start's predecessor) and its count (difference of positions).
+these starts gives each run's end (the next start's predecessor) and its count (difference of positions).  Two slipped showings of a line can differ more than each from the line itself, so an event
+that differs from its predecessor still goes on if it equals another variant of the same run, and a variant that also
+equals one of the run just before takes that run in.
 
 A video's events are cut into chunks of ``CHUNK`` steps, each with the last step of the chunk before as context, so a
 video of any length is spread over many tasks.  Only runs that touch a chunk's border are joined over the whole
@@ -41,12 +43,15 @@ def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys: dict[str, tuple[str, ...] | None] = {}
     group, out = None, []
     prev_key = prev_idx = prev_pos = seen_idx = None
+    variants: dict[tuple[str, ...], None] = {}
+    before: dict[tuple[str, ...], None] = {}
     nth = 0
 
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], names=NAMES)
-        out.clear()
-        return made
+    def flush(keep: int) -> pa.RecordBatch:
+        """All boundary rows but the last ones, which a later variant may still change."""
+        done = out[: len(out) - keep]
+        del out[: len(out) - keep]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), TYPES)], names=NAMES)
 
     def close() -> None:
         if group is not None and nth:
@@ -60,6 +65,7 @@ def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 group, nth = (seq, video, chunk), 0
                 prev_key = prev_idx = seen_idx = None
+                variants, before = {}, {}
             if idx == seen_idx:
                 continue
             seen_idx = idx
@@ -76,23 +82,34 @@ def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = keys[line] = line_key(line)
                 if key is None:
                     continue
-                same = (shown or follows) and same_words(prev_key, key)
+                same = (shown or follows) and (same_words(prev_key, key) or len(variants) > 1 and any(same_words(v, key) for v in variants))
+                if not same:
+                    variants, before = {}, variants if shown or follows else {}
+                fresh = key not in variants
+                variants[key] = None
                 shown = True
                 if not context:
                     if not same or nth == 0:
                         out.append((seq, video, chunk, idx, pos, prev_idx_last if nth else None, prev_pos_last if nth else None, nth, bool(same), line))
                     nth += 1
                     prev_idx_last, prev_pos_last = idx, pos
+                if same and fresh and before and any(same_words(v, key) for v in before):
+                    variants, before = before | variants, {}
+                    if not context:
+                        # The run's first row was no boundary; as the first of its chunk it stays and joins the one before.
+                        row = out.pop()
+                        if row[7] == 0:
+                            out.append((*row[:8], True, row[9]))
                 prev_key, prev_pos = key, pos
             if shown:
                 prev_idx = idx
             else:
                 prev_key = prev_idx = None
         if len(out) > 20_000:
-            yield flush()
+            yield flush(1)
     close()
     if out:
-        yield flush()
+        yield flush(0)
 
 
 def line_rows(df: DataFrame, seq: str, idx: str, step: int) -> DataFrame:

@@ -27,5 +27,19 @@ def test_runs_cross_chunks(spark, monkeypatch):
     assert found(spark, frames, windows) == [("frame", "v", 0, 0, 12, 0, 13, 13), ("frame", "v", 13, 0, 14, 0, 2, 2), ("window", "v", 0, 0, 16, 1, 6, 24), ("window", "v", 32, 0, 40, 1, 4, 16)]
 
 
+def test_slipped_showings_meet_over_other_variants(spark, monkeypatch):
+    line = lambda w: [f"Velm went to the {w} again"]
+    for chunk in (2048, 2, 3):
+        monkeypatch.setattr(runs, "CHUNK", chunk)
+        clean_first = [("a", k, line(w), T) for k, w in enumerate(["market", "markket", "maket", "market"])]
+        clean_last = [("b", k, line(w), T) for k, w in enumerate(["markket", "maket", "market", "canoe"])]
+        apart = [("c", k, line(w), T) for k, w in enumerate(["markket", "maket"])] + [("c", 3, line("market"), T)]
+        got = found(spark, clean_first + clean_last + apart)
+        if chunk == 2048:
+            assert got == [("frame", "a", 0, 0, 3, 0, 4, 4), ("frame", "b", 0, 0, 2, 0, 3, 3)]
+        else:  # a chunk sees one step of the chunk before
+            assert all(g[0] == "frame" and g[6] >= 2 for g in got)
+
+
 def test_empty(spark):
     assert found(spark, []) == []
