@@ -41,7 +41,7 @@ SAMPLE = 6_000
 #: Share of the pairs of the least similarity that the tables must be expected to retrieve, and the most tables for that.
 EXPECTED, MOST_TABLES = 0.98, 48
 #: Codes are near if they are at most the mean and so many deviations apart for the least similarity: whole, first half.
-SLACK, HALF_SLACK = 4.0, 5.0
+SLACK, HALF_SLACK = 3.75, 5.0
 #: Bits of the filter that keeps the floats of candidates: so many times their ids, within bounds (8 MB are broadcast at
 #: most).  A fuller filter only lets more floats through to the joins, which take those of candidates alone.
 FILTER_SHARE, LEAST_FILTER, MOST_FILTER = 8, 1 << 20, 1 << 26
@@ -359,9 +359,8 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     crowded = members.where(F.col("nth") == k + 1).select("h1", "h2", F.col("rep").alias("x"), F.col("vec_id").alias("sixth"))
     any_crowded = not crowded.isEmpty()
     context = items.sparkSession.sparkContext
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    size = filter_bits(ends.count())
-    wanted = context.broadcast(id_filter(ends, size))
+    size = filter_bits(2 * pairs.count())
+    wanted = context.broadcast(id_filter(pairs.select(F.explode(F.array("u", "v")).alias("id")), size))
     crowded_size = filter_bits(crowded.count()) if any_crowded else 0
     copied = context.broadcast(id_filter(crowded.select(F.col("h1").alias("id")), crowded_size)) if any_crowded else None
 
