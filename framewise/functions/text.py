@@ -390,8 +390,8 @@ def thinking(c: Column) -> Column:
 
 def data_url(c: Column) -> Column:
     """Bytes of a base64 data URL; null for other text."""
-    body = F.nullif(F.regexp_extract(c, r"^data:[^;,]*;base64,(.*)$", 1), F.lit(""))
-    return F.try_to_binary(body, F.lit("base64"))
+    head = r"(?s)^data:[^;,]*;base64,(.*)$"
+    return F.when(F.rlike(c, F.lit(head)), F.try_to_binary(F.regexp_extract(c, head, 1), F.lit("base64")))
 
 
 def json_object(c: Column) -> Column:

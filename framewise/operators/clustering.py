@@ -138,6 +138,19 @@ def breadth_expansion(relevance_of, points: int, first: int = 8, most: int = 32,
     return k
 
 
+def breadth_levels(sizes: DataFrame, relevance: DataFrame, first: int = 8, most: int = 32, wanted: int = 4) -> DataFrame:
+    """:func:`breadth_expansion` for every key of ``sizes`` (key, points): ``key, k``.
+
+    ``relevance`` (key, k, relevance) has the relevance of each of the k clusters for the numbers k a key may try.
+    """
+    doubled = F.array(*[F.lit(first * 2**i) for i in range(max(0, (most - 1).bit_length() - (first - 1).bit_length()) + 1)])
+    tried = F.array_distinct(F.transform(doubled, lambda x: F.least(x, F.lit(most), F.col("points").cast("int"))))
+    steps = sizes.where("points > 0").select("key", F.explode(tried).alias("k"))
+    high = relevance.groupBy("key", "k").agg(F.count_if(F.col("relevance") == 3).alias("high"))
+    enough = F.min(F.when(F.coalesce("high", F.lit(0)) >= wanted, F.col("k")))
+    return steps.join(high, ["key", "k"], "left").groupBy("key").agg(F.coalesce(enough, F.max("k")).alias("k"))
+
+
 def ward(x: np.ndarray, parts: int) -> np.ndarray:
     """Labels of ``parts`` clusters by Ward's merging, numbered by first member.
 
@@ -186,8 +199,11 @@ def ward(x: np.ndarray, parts: int) -> np.ndarray:
     return np.unique([root(k) for k in range(n)], return_inverse=True)[1]
 
 
-def split_by_relevance(x: np.ndarray, relevance: int, parts: int = 4) -> list[tuple[int, int]]:
-    """(sub, subsub) of every member: none for relevance 1, one level for 2, two for 3; -1 where there is no level."""
+def split_by_relevance(x: np.ndarray, relevance: int, parts: int = 4) -> list[tuple[int, int] | None]:
+    """(sub, subsub) of every member: none for relevance 1, one level for 2, two for 3; -1 where there is no level.
+
+    At relevance 3 the members of sub-clusters with less than two leave the tree: None.
+    """
     n = len(x)
     if relevance <= 1 or n < 2:
         return [(-1, -1)] * n
@@ -199,18 +215,23 @@ def split_by_relevance(x: np.ndarray, relevance: int, parts: int = 4) -> list[tu
         here = np.flatnonzero(sub == s)
         if len(here) >= 2:
             deep[here] = ward(x[here], parts)
-    return [(int(s), int(z)) for s, z in zip(sub, deep)]
+    return [(int(s), int(z)) if z >= 0 else None for s, z in zip(sub, deep)]
 
 
 def depth_expansion(assigned: DataFrame, vectors: DataFrame, relevance: str | None = None, parts: int = 4) -> DataFrame:
-    """``key, point, cluster, sub, subsub``: each cluster split by its relevance (a column of ``assigned``, else 3)."""
+    """``key, point, cluster, sub, subsub``: each cluster split by its relevance (a column of ``assigned``, else 3).
+
+    Members of dropped sub-clusters have no row.
+    """
     rows = assigned.join(vectors, ["key", "point"]).withColumn("relevance", F.col(relevance) if relevance else F.lit(3))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("point")
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
         levels = split_by_relevance(x, int(frame["relevance"].iloc[0]), parts)
-        return pd.DataFrame({"key": frame["key"], "point": frame["point"], "cluster": frame["cluster"], "sub": [a for a, _ in levels], "subsub": [b for _, b in levels]})
+        kept = frame[[v is not None for v in levels]]
+        levels = [v for v in levels if v is not None]
+        return pd.DataFrame({"key": kept["key"], "point": kept["point"], "cluster": kept["cluster"], "sub": [a for a, _ in levels], "subsub": [b for _, b in levels]})
 
     return rows.groupBy("key", "cluster").applyInPandas(run, "key string, point long, cluster int, sub int, subsub int")
 
@@ -220,3 +241,20 @@ def representatives(points: DataFrame, dim: int = 64) -> DataFrame:
     near = points.join(cluster_means(points, dim), "cluster").select("cluster", "point", F.round(vector.cosine_distance(F.col("embedding"), F.col("centre")), 6).alias("distance"))
     best = near.groupBy("cluster").agg(F.min(F.struct("distance", "point")).alias("b")).select(F.col("b.point").alias("point"), "cluster")
     return best.withColumn("place", F.row_number().over(W.orderBy("point"))).select("place", "point", "cluster")
+
+
+def tree_representatives(tree: DataFrame, vectors: DataFrame, dim: int = 64, distinct: bool = False) -> DataFrame:
+    """``key, place, point``: representatives of a tree (key, point, cluster, sub, subsub) in temporal order.
+
+    Every cluster gives the member closest by cosine to its mean, every deepest group inside it one more; ``distinct``
+    keeps a point once.
+    """
+    groups = F.array(
+        F.struct(F.lit(-1).alias("sub"), F.lit(-1).alias("subsub")),
+        F.when(F.col("sub") >= 0, F.struct(F.col("sub").cast("int").alias("sub"), F.col("subsub").cast("int").alias("subsub"))),
+    )
+    rows = tree.join(vectors, ["key", "point"]).select("key", "point", "embedding", "cluster", F.explode(F.array_compact(groups)).alias("g")).select("key", "point", "embedding", F.struct("key", "cluster", "g.sub", "g.subsub").alias("cluster"))
+    near = rows.join(cluster_means(rows, dim), "cluster").select("cluster", "point", F.round(vector.cosine_distance(F.col("embedding"), F.col("centre")), 6).alias("distance"))
+    best = near.groupBy("cluster").agg(F.min(F.struct(F.coalesce("distance", F.lit(2.0)).alias("distance"), "point")).alias("b")).select("cluster.key", F.col("b.point").alias("point"))
+    best = best.distinct() if distinct else best
+    return best.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("point"))).select("key", "place", "point")

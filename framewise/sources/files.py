@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
-from collections.abc import Iterator
-from glob import glob
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewise.sources import paths
+
 CHUNK = 8 << 20
 
 
@@ -25,37 +28,57 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
     return spark.read.json(path, schema=schema, mode="PERMISSIVE")
 
 
-def array_items(text: str) -> Iterator[str]:
-    """Items of a JSON array as text, up to the last whole one."""
-    decoder, at = json.JSONDecoder(), text.find("[") + 1
-    if not at or text[: at - 1].strip("﻿ \t\r\n"):
-        return
+def array_items(read: Callable[[int], bytes], chunk: int = CHUNK) -> Iterator[str]:
+    """Items of a JSON array as text, up to the last whole one, from a source read ``chunk`` bytes at a time.
+
+    Only the items not yet complete are held; while one does not end, twice as much is read each time.
+    """
+    decoder, decode = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, at, begun, more = "", 0, False, chunk
     while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text) or text[at] == "]":
+        raw = read(more)
+        held, at = held[at:] + decode(raw, not raw), 0
+        if not begun:
+            start = held.lstrip("\ufeff \t\r\n")
+            if start[:1] not in ("", "["):
+                return
+            begun = bool(start)
+            held = start[1:]
+        while begun:
+            while at < len(held) and held[at] in " \t\r\n,":
+                at += 1
+            if held[at : at + 1] == "]":
+                return
+            try:
+                value, end = decoder.raw_decode(held, at)
+            except json.JSONDecodeError:
+                more *= 2
+                break
+            if end == len(held) and raw and not isinstance(value, (dict, list, str)):
+                break  # a number may go on in the next chunk
+            yield held[at:end]
+            at, more = end, chunk
+        if not raw:
             return
-        try:
-            _, end = decoder.raw_decode(text, at)
-        except json.JSONDecodeError:
-            return
-        yield text[at:end]
-        at = end
 
 
 def read_json_prefix(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON arrays whose tail may be cut off: the valid prefix of each file, as ``path, pos, item``.
 
-    A file is read by one task, items are decoded one by one; something that is no array has no items.
+    A file is read by one task, ``CHUNK`` bytes at a time; something that is no array has no items.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                items = list(array_items(bytes(content).decode("utf-8", "replace")))
-                if items:
-                    yield pd.DataFrame({"path": [name] * len(items), "pos": range(len(items)), "raw": items})
+            for name in frame["path"]:
+                system, at = fs.FileSystem.from_uri(name if "://" in name or not name.startswith("file:") else "file://" + name[5:])
+                with system.open_input_stream(at) as stream:
+                    numbered = enumerate(array_items(stream.read))
+                    while some := list(islice(numbered, 1000)):
+                        yield pd.DataFrame({"path": [name] * len(some), "pos": [k for k, _ in some], "raw": [x for _, x in some]})
 
     return files.mapInPandas(run, "path string, pos long, raw string").select("path", "pos", F.from_json("raw", schema).alias("item"))
 
@@ -77,7 +100,7 @@ def file_index(spark: SparkSession, roots: list[str], pattern: str = "*.mp4") ->
     parts = []
     for k, root in enumerate(roots):
         files = list_files(spark, root, pattern)
-        relative = F.element_at(F.split("path", os.path.abspath(root).rstrip("/") + "/"), -1)
+        relative = F.element_at(F.split("path", paths.inner(spark, root)), -1)
         parts.append(files.select(F.explode(F.array(relative, "stem", "name")).alias("key"), "path", F.lit(k).alias("root")))
     rows = parts[0]
     for p in parts[1:]:
@@ -87,13 +110,14 @@ def file_index(spark: SparkSession, roots: list[str], pattern: str = "*.mp4") ->
 
 def parquet_paths(path: str, tag: str | None = None) -> list[str]:
     """Files to read: of a folder (with a tag) all sorted, of a file its train and test siblings if both exist; none is an error."""
+    spark = SparkSession.active()
     mark = f"*{tag}*.parquet" if tag else "*.parquet"
-    if os.path.isdir(path):
-        found = sorted(glob(os.path.join(path, mark)))
+    if paths.is_folder(spark, path):
+        found = paths.matching(spark, os.path.join(path, mark))
     else:
         folder = os.path.dirname(path)
         pair = [os.path.join(folder, f"{n}{'_' + tag if tag else ''}.parquet") for n in ("train", "test")]
-        found = pair if all(map(os.path.exists, pair)) else sorted(glob(path))
+        found = pair if all(paths.exists(spark, p) for p in pair) else paths.matching(spark, path)
     if not found:
         raise FileNotFoundError(f"no parquet file at {path}")
     return found
@@ -134,16 +158,18 @@ def describe_parquet(spark: SparkSession, path: str) -> DataFrame:
     """``column, type, bytes, rows`` of parquet files from their footers alone."""
     import pyarrow.parquet as pq
 
-    files = sorted(glob(os.path.join(path, "**", "*.parquet"), recursive=True)) if os.path.isdir(path) else [path]
-    rows = spark.createDataFrame([(f,) for f in files], "file string")
+    files = list_files(spark, path, "*.parquet").select("path").distinct() if paths.is_folder(spark, path) else spark.createDataFrame([(path,)], "path string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for frame in frames:
-            for name in frame["file"]:
-                meta = pq.ParquetFile(name).metadata
+            for name in frame["path"]:
+                system, at = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), paths.plain(name))
+                meta = pq.read_metadata(system.open_input_file(at))
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     cols = [group.column(c) for c in range(group.num_columns)]
                     yield pd.DataFrame({"column": [c.path_in_schema for c in cols], "type": [c.physical_type for c in cols], "bytes": [c.total_compressed_size for c in cols], "rows": group.num_rows})
 
-    return rows.mapInPandas(run, "column string, type string, bytes long, rows long").groupBy("column", "type").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    return files.mapInPandas(run, "column string, type string, bytes long, rows long").groupBy("column", "type").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.operators import retrieval
+from framewise.sources import paths
 
 TABLES = ("frames", "window_embeddings", "subtitle_embeddings", "frame_subtitles")
 
@@ -28,7 +29,7 @@ def read_table(spark: SparkSession, root: str, name: str, dataset: str, window_s
 
 def missing(todo: DataFrame, spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Videos that the index does not hold yet."""
-    if not os.path.isdir(os.path.join(root, "window_embeddings")):
+    if not paths.is_folder(spark, os.path.join(root, "window_embeddings")):
         return todo
     return todo.join(read_table(spark, root, "window_embeddings", dataset).select("video_id").distinct(), "video_id", "left_anti")
 

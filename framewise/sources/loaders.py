@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from framewise.functions.text import BOILERPLATE, choice_to_index, option_lines, strip
 from framewise.operators.dataset import keep_first, running_offset
 from framewise.schemas import ENTRY_PULS
+from framewise.sources import paths
 from framewise.sources.files import list_files, read_json_array
 
 TEXT = T.StringType()
@@ -29,7 +30,7 @@ def fields(**kinds: T.DataType) -> T.StructType:
 
 def refined(spark: SparkSession, folder: str, name: str = REFINED) -> DataFrame | None:
     path = os.path.join(folder, name)
-    return read_json_array(spark, path, ENTRY_PULS) if os.path.exists(path) else None
+    return read_json_array(spark, path, ENTRY_PULS) if paths.exists(spark, path) else None
 
 
 def entry(question: Column, candidates: Column, choice: Column, raw: Column, subtitle: Column, video: Column, video_id: Column, ident: Column, original: Column) -> list[Column]:
@@ -51,9 +52,9 @@ def at(*parts) -> Column:
 
 def where_file_exists(rows: DataFrame, spark: SparkSession, folder: str, name: Column) -> DataFrame:
     """Rows whose file is below the folder; one listing, no file is opened."""
-    if not os.path.isdir(folder) or not any(f for _, _, f in os.walk(folder)):
+    if not paths.holds_files(spark, folder):
         return rows.limit(0)
-    base = os.path.abspath(folder).rstrip("/") + "/"
+    base = paths.inner(spark, folder)
     there = list_files(spark, folder).select(F.element_at(F.split("path", base), -1).alias("_file"))
     return rows.withColumn("_file", name).join(there, "_file", "left_semi").drop("_file")
 
@@ -128,7 +129,7 @@ def load_mlvu(spark: SparkSession, folder: str, categories: tuple[str, ...] = ML
     parts = []
     for k, category in enumerate(categories):
         path = os.path.join(folder, "json", f"{category}.json")
-        if not os.path.exists(path):
+        if not paths.exists(spark, path):
             continue
         rows = read_json_array(spark, path, schema)
         own = F.array(F.struct(*item.names))
@@ -152,7 +153,7 @@ CGBENCH_FILES = ("cgbench_puls.json", "cgbench.json", "cgbench_mini.json")
 
 def load_cgbench(spark: SparkSession, folder: str, files: tuple[str, ...] = CGBENCH_FILES) -> DataFrame:
     """The first file that exists; answers as letters, numbers or texts become 0-based numbers."""
-    path = next((os.path.join(folder, f) for f in files if os.path.exists(os.path.join(folder, f))), None)
+    path = next((os.path.join(folder, f) for f in files if paths.exists(spark, os.path.join(folder, f))), None)
     if path is None:
         raise FileNotFoundError(f"none of {files} in {folder}")
     item = fields(qid=TEXT, id=TEXT, video_uid=TEXT, video_id=TEXT, question=TEXT, choices=T.ArrayType(TEXT), options=T.ArrayType(TEXT), right_answer=TEXT, answer=TEXT)

@@ -36,6 +36,8 @@ def test_breadth_and_depth():
     assert C.split_by_relevance(x, 1) == [(-1, -1)] * 8
     assert all(b == -1 for _, b in C.split_by_relevance(x, 2)) and len({a for a, _ in C.split_by_relevance(x, 2)}) == 4
     assert len(set(C.split_by_relevance(x, 3))) == 8
+    lone = np.array([[0.0], [0.1], [5.0], [5.1], [9.0], [20.0], [20.1]])
+    assert [v is None for v in C.split_by_relevance(lone, 3)] == [False] * 4 + [True] + [False] * 2
 
 
 def test_large_keys_are_clustered_without_grouping_them(spark, blobs, monkeypatch, tmp_path):
@@ -84,3 +86,26 @@ def test_ward_merges_members_at_every_size(spark):
         i, j = min(((a, b) for a in held for b in held if a < b), key=lambda p: cost(held[p[0]], held[p[1]]))
         held[i] += held.pop(j)
     assert groups(C.ward(small, 4).tolist()) == {frozenset(v) for v in held.values()}
+
+
+def test_breadth_levels_follow_the_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    sizes = [(k, rng.choice([1, 5, 8, 9, 20, 31, 32, 100])) for k in range(40)]
+    rows, want = [], {}
+    for key, points in sizes:
+        given = {k: [rng.choice([1, 2, 3, 1, 1]) for _ in range(k)] for k in {min(x, points) for x in (8, 16, 32)}}
+        rows += [(key, k, r) for k, rs in given.items() for r in rs]
+        want[key] = C.breadth_expansion(given.__getitem__, points)
+    got = C.breadth_levels(spark.createDataFrame(sizes, "key int, points long"), spark.createDataFrame(rows, "key int, k int, relevance int"))
+    assert {r.key: r.k for r in got.collect()} == want
+
+
+def test_representatives_of_a_tree(spark):
+    unit = lambda a: [float(np.cos(a)), float(np.sin(a))] + [0.0] * 62
+    rows = [("v", 1, 0, -1, -1, 0.0), ("v", 2, 0, -1, -1, 0.1), ("v", 3, 0, -1, -1, 0.25), ("v", 4, 1, 0, 0, 1.0), ("v", 5, 1, 0, 1, 1.3), ("v", 6, 1, 1, -1, 1.6), ("w", 9, 0, -1, -1, 0.0)]
+    df = spark.createDataFrame([(k, p, c, s, z, unit(a)) for k, p, c, s, z, a in rows], "key string, point long, cluster int, sub int, subsub int, embedding array<double>")
+    found = lambda d: [(r.key, r.place, r.point) for r in C.tree_representatives(df.drop("embedding"), df.select("key", "point", "embedding"), distinct=d).orderBy("key", "place").collect()]
+    assert found(False) == [("v", 1, 2), ("v", 2, 4), ("v", 3, 5), ("v", 4, 5), ("v", 5, 6), ("w", 1, 9)]
+    assert found(True) == [("v", 1, 2), ("v", 2, 4), ("v", 3, 5), ("v", 4, 6), ("w", 1, 9)]
