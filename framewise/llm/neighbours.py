@@ -8,7 +8,8 @@ reranked by their floats.  How close, and how many tables it takes, follows from
 (:func:`plan_search`); where too many would be needed, the exact way compares all vectors block by block.
 
 Tables are cut into blocks by the leading bits of the substring once they exceed ``BLOCK_ROWS`` vectors; a vector is then
-sent to the blocks its probes reach, so a task holds one block whatever the collection's size.  No bucket is capped.
+sent to the blocks its probes reach, so a task holds one block whatever the collection's size.  No bucket is capped:
+vectors of a bucket above ``CROWD`` are compared by floats in blocks, which never puts out all pairs of a dense group.
 
 Vectors that are null, of another length, NaN-bearing or all zero have no similarity.  Exact copies are searched once:
 the neighbours of a copy are those of its group, of which the smallest ids count first, so groups of any size cost a
@@ -47,6 +48,9 @@ SLACK, HALF_SLACK = 3.75, 5.0
 FILTER_SHARE, LEAST_FILTER, MOST_FILTER = 8, 1 << 20, 1 << 26
 #: Vectors in each of the two blocks that a task of the exact way compares.
 EXACT_ROWS = 20_000
+#: Vectors with one substring that are compared in their bucket; those of a larger one go the exact way among themselves,
+#: which keeps the best of each and not every pair.
+CROWD = 2_000
 #: Odd factor below 2^31 that spreads 32 bits over the filter without overflow.
 MIX = 0x5E3779B1
 
@@ -95,13 +99,15 @@ def coder(centre: np.ndarray, turn: np.ndarray):
 
 @dataclass(frozen=True)
 class Search:
-    """Bits of a substring and of the block number in it, tables, and the most bits near codes differ in (whole, first half)."""
+    """Bits of a substring and of the block number in it, tables, the most bits near codes differ in (whole, first half), and
+    the largest bucket that is compared."""
 
     bits: int
     block_bits: int
     tables: int
     near: int
     near_half: int
+    crowd: int
 
 
 def plan_search(n: int, least: float) -> Search:
@@ -117,7 +123,7 @@ def plan_search(n: int, least: float) -> Search:
     if tables > MOST_TABLES:
         raise ValueError(f"{tables} tables would be needed for a similarity of {least}; use exact=True")
     far = lambda size, slack: int(size * p + slack * sqrt(size * p * (1 - p)))
-    return Search(bits, max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS)))), tables, far(CODE_BITS, SLACK), far(CODE_BITS // 2, HALF_SLACK))
+    return Search(bits, max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS)))), tables, far(CODE_BITS, SLACK), far(CODE_BITS // 2, HALF_SLACK), CROWD)
 
 
 def substring_bits(bits: int, tables: int) -> list[np.ndarray]:
@@ -153,9 +159,10 @@ def masks(bits: int, most: int) -> list[int]:
 
 
 def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int, at_home: np.ndarray, radius: np.ndarray, search: Search, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a block whose keys are within the radius and whose whole codes are near.
+    """Pairs of a block whose keys are within the radius and whose whole codes are near; a crowded row is paired with itself.
 
     Rows ``at_home`` are indexed and probe each other once; the others only probe, with the radius their block leaves.
+    Crowded rows are not paired with each other.
     """
     home = np.flatnonzero(at_home)
     order = home[np.argsort(key[home], kind="stable")]
@@ -189,12 +196,18 @@ def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int,
 
     own_ids = ids[order]
     place = np.arange(len(order), dtype=np.int32)
+    crowded = np.diff(offset)[sorted_key] > search.crowd
+    if crowded.any():
+        yield own_ids[crowded], own_ids[crowded]
     for mask in masks(bits, RADIUS):
         if mask == 0:
-            yield from compare(own, own_ids, place + 1, offset[sorted_key + 1])
+            yield from compare(own, own_ids, place + 1, np.where(crowded, place + 1, offset[sorted_key + 1]))
         else:
             lower = np.flatnonzero((sorted_key & (1 << (mask.bit_length() - 1))) == 0)
             other = sorted_key[lower] ^ mask
+            if crowded.any():
+                alone = ~(crowded[lower] & (offset[other + 1] - offset[other] > search.crowd))
+                lower, other = lower[alone], other[alone]
             yield from compare([o[lower] for o in own], own_ids[lower], offset[other], offset[other + 1])
     for left in range(RADIUS):
         guests = visitors[radius[visitors] == left]
@@ -233,7 +246,7 @@ def block_search(search: Search):
 
 
 def candidate_pairs(codes: DataFrame, search: Search) -> DataFrame:
-    """Distinct pairs u < v of ``codes`` (vec_id, c1, c2) that the tables retrieve, near by whole code."""
+    """Distinct pairs u < v of ``codes`` (vec_id, c1, c2) that the tables retrieve, near by whole code; u = v marks crowded ones."""
     bits, block_bits, tables = search.bits, search.block_bits, search.tables
     places = substring_bits(bits, tables)
     inner = bits - block_bits
@@ -354,6 +367,9 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
         pairs = cut(exact_pairs(items, reps, reps.count(), k, least, dim))
     else:
         pairs = cut(candidate_pairs(reps.select("vec_id", "c1", "c2"), plan_search(reps.count(), least)))
+        crowd = pairs.where("u = v").select(F.col("u").alias("vec_id"))
+        if (many := crowd.count()) > 0:
+            pairs = cut(pairs.where("u < v").unionByName(exact_pairs(items, crowd, many, k, least, dim)).distinct())
 
     # One more look at the table: the floats of candidates, and the copies beyond the k + 1 smallest ids of crowded groups.
     crowded = members.where(F.col("nth") == k + 1).select("h1", "h2", F.col("rep").alias("x"), F.col("vec_id").alias("sixth"))

@@ -89,7 +89,7 @@ class BpeEncoder:
         self.byte_ids = {b: vocab[c] for c, b in letters.items()}
         self.find = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.register("loaded", pa.table({"l": [vocab[a] for a, _ in pairs], "r": [vocab[b] for _, b in pairs], "rank": list(range(len(pairs))), "made": [vocab[a + b] for a, b in pairs]}))
         self.db.execute("CREATE TABLE merges AS SELECT l::INT AS l, r::INT AS r, rank::INT AS rank, made::INT AS made FROM loaded")
         self.db.unregister("loaded")

@@ -58,6 +58,21 @@ def test_exact_way_finds_all(spark, monkeypatch):
         assert got == brute(ids, matrix, 3, least)
 
 
+def test_dense_groups_are_compared_without_all_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    dense = rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.02
+    matrix = np.concatenate([dense, collection(seed=8)])
+    ids = rng.permutation(len(matrix))
+    monkeypatch.setattr(neighbours, "EXACT_ROWS", 100)
+    want = brute(ids, matrix, 5, 0.93)
+    pairs = list(neighbours.close_pairs(np.arange(400), np.zeros((400, 2), dtype=np.uint64), np.zeros(400, dtype=np.int64), 10, np.ones(400, dtype=bool), np.full(400, 2), neighbours.plan_search(1000, 0.93)))
+    assert sum(len(u) for u, _ in pairs) == 400 * 399 // 2
+    monkeypatch.setattr(neighbours, "CROWD", 30)
+    pairs = list(neighbours.close_pairs(np.arange(400), np.zeros((400, 2), dtype=np.uint64), np.zeros(400, dtype=np.int64), 10, np.ones(400, dtype=bool), np.full(400, 2), neighbours.plan_search(1000, 0.93)))
+    assert [(u == v).all() and len(u) == 400 for u, v in pairs] == [True]
+    assert {(r.vec_a, r.vec_b) for r in neighbours.similar_pairs(frame(spark, ids, matrix)).collect()} == want
+
+
 def test_search_follows_from_the_similarity():
     plans = {s: neighbours.plan_search(700_000, s) for s in (0.9, 0.93, 0.98)}
     assert plans[0.93].tables == 5 and plans[0.9].tables > 5 and plans[0.98].near < plans[0.93].near < plans[0.9].near
