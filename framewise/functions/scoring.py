@@ -71,6 +71,7 @@ def compute_score_subem(response: Column, golds: Column, format_score: float = 0
     return F.when(answer.isNull(), 0.0).when(sub_em_check(answer, golds), 1.0).otherwise(formed)
 
 
+# Thresholds, target and steepness of the calibration, and the place of its middle.
 def calibrate(c: Column, true_at: float = 0.95, false_at: float = 0.40, target: float = 0.60, target_p: float = 0.78, low: float = 0.01, high: float = 0.99, steepness: float = 0.7) -> Column:
     """Confidence as a probability: flat outside the thresholds, between them a sigmoid through (target, target_p), rescaled to meet both ends."""
     middle = 0.30

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from framewise.functions.text import found, last_of, strip
 
 RESPONSE, CLOSE = "<tool_response>", "</tool_response>"
-TOOL_BLOCK = r"(?s)(<search>.*?</search>|<search_summary>.*?</search_summary>|<search_subtitle>.*?</search_subtitle>)"
+#: A tool's block, closed by the tag that opens it.
+TOOL_BLOCK = r"(?s)(<(search(?:_summary|_subtitle)?)>.*?</\2>)"
 
 
 def readable(c: Column) -> Column:

@@ -137,11 +137,11 @@ def assistant_thoughts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...(truncated)' ELSE text END AS kept_start, CASE WHEN length(text) > 100 THEN '(truncated)...' || right(text, 100) ELSE text END AS kept_end,
-CASE WHEN length(text) > 100 THEN left(text, 50) || '...(truncated)...' || right(text, 50) ELSE text END AS kept_both FROM documents WHERE text IS NOT NULL AND kind <> 'transcript' AND lang = 'en'""")
+CASE WHEN length(text) > 100 THEN left(text, 50) || '...(truncated)...' || right(text, 50) ELSE text END AS kept_both FROM documents WHERE text IS NOT NULL""")
 def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
     """tool text cut at either side or in the middle."""
     c = F.col("text")
-    rows = table(spark, d, "documents").where("text is not null and kind <> 'transcript' and lang = 'en'")
+    rows = table(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", T.truncate_text(c, 100).alias("kept_start"), T.truncate_text(c, 100, "right").alias("kept_end"), T.truncate_text(c, 100, "middle").alias("kept_both"))
 
 
@@ -149,21 +149,20 @@ BP = "replace(replace(q, 'This is a multiple choice question. You must choose th
 
 
 @query(f"""WITH s AS (SELECT entry_id, 'Intro. Question: ' || question AS q FROM data_input WHERE question IS NOT NULL)
-SELECT entry_id, {STRIP.format(x="list_extract(string_split(q, 'Question:'), -1)")} AS after_mark, {STRIP.format(x="regexp_replace(" + BP.replace('q,', "substr(q, 8),", 1) + ", '(?i)^\\s*Question:\\s*', '')")} AS bare, lower({STRIP.format(x="regexp_replace(q, '\\s+', ' ', 'g')")}) AS key FROM s WHERE regexp_matches(q, '^[\\x00-\\x7f]*$')""")
+SELECT entry_id, {STRIP.format(x="list_extract(string_split(q, 'Question:'), -1)")} AS after_mark, {STRIP.format(x="regexp_replace(" + BP.replace('q,', "substr(q, 8),", 1) + ", '(?i)^\\s*Question:\\s*', '')")} AS bare, lower({STRIP.format(x="regexp_replace(q, '\\s+', ' ', 'g')")}) AS key FROM s""")
 def question_keys(spark: SparkSession, d: str) -> DataFrame:
     """question cleaners."""
-    rows = table(spark, d, "data_input").where("question is not null").select("entry_id", F.concat(F.lit("Intro. Question: "), "question").alias("q")).where(F.rlike("q", F.lit(r"^[\x00-\x7f]*$")))
+    rows = table(spark, d, "data_input").where("question is not null").select("entry_id", F.concat(F.lit("Intro. Question: "), "question").alias("q"))
     return rows.select("entry_id", T.after_question(F.col("q")).alias("after_mark"), T.bare_question(F.substr(F.col("q"), F.lit(8))).alias("bare"), T.question_key(F.col("q")).alias("key"))
 
 
 SLUG = "regexp_replace(lower(translate(regexp_replace(regexp_replace({x}, '^[^a-zA-Z]+|[^a-zA-Z]+$', '', 'g'), '\\s+', '_', 'g'), '-''', '_')), '[^a-zA-Z0-9_]', '', 'g')"
 
 
-@query(f"SELECT entry_id, {SLUG.format(x='question')} AS slug, regexp_replace(lower(question), '[^a-z0-9]+', '', 'g') AS fragment FROM data_input WHERE regexp_matches(question, '^[\\x00-\\x7f]*$')")
+@query(f"SELECT entry_id, {SLUG.format(x='question')} AS slug, regexp_replace(lower(question), '[^a-z0-9]+', '', 'g') AS fragment FROM data_input")
 def proposition_slugs(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of propositions and file fragments."""
-    rows = table(spark, d, "data_input").where(F.rlike("question", F.lit(r"^[\x00-\x7f]*$")))
-    return rows.select("entry_id", T.slug(F.col("question")).alias("slug"), T.fragment(F.col("question")).alias("fragment"))
+    return table(spark, d, "data_input").select("entry_id", T.slug(F.col("question")).alias("slug"), T.fragment(F.col("question")).alias("fragment"))
 
 
 @query("""SELECT p_partkey AS id, '("red_' || lower(p_type) || '" & ! "' || lower(p_type) || '") U "a_' || regexp_replace(lower(p_brand), '[^a-z]', '', 'g') || '" | G "x"' AS spec, '"red ' || p_type || '" & "' || p_type || '"' AS joined FROM part""")

@@ -21,6 +21,7 @@ from framewise.sources import paths
 from framewise.sources.files import list_files, read_json_array
 
 TEXT = T.StringType()
+# Fixed values, here and in the loaders: names of the datasets' files, folders and fields.
 REFINED = "puls_refined.json"
 
 
@@ -134,10 +135,10 @@ def load_mlvu(spark: SparkSession, folder: str, categories: tuple[str, ...] = ML
         rows = read_json_array(spark, path, schema)
         own = F.array(F.struct(*item.names))
         inner = rows.select("pos", F.posexplode(F.coalesce("data", "questions", "items", own)).alias("inner", "i"))
-        parts.append(inner.select(F.lit(k).alias("file"), (F.col("pos") * 1_000_000 + F.col("inner")).alias("pos"), "i.*", F.lit(category).alias("folder")))
+        parts.append(inner.select(F.lit(k).alias("file"), "pos", "inner", "i.*", F.lit(category).alias("folder")))
     if not parts:
         raise FileNotFoundError(f"no category file below {folder}/json")
-    rows = running_offset(reduce(DataFrame.unionByName, parts), "file", "pos").withColumnRenamed("index", "id")
+    rows = running_offset(reduce(DataFrame.unionByName, parts), "file", "pos", "inner").withColumnRenamed("index", "id").drop("inner")
     video = F.concat_ws("/", "folder", "video")
     rows = rows.withColumn("video", video).withColumn("category", F.coalesce("category", "folder")).withColumn("options", F.coalesce("options", "candidates", "choices"))
     place = F.array_position("options", F.col("answer")) - 1
@@ -158,7 +159,8 @@ def load_cgbench(spark: SparkSession, folder: str, files: tuple[str, ...] = CGBE
         raise FileNotFoundError(f"none of {files} in {folder}")
     item = fields(qid=TEXT, id=TEXT, video_uid=TEXT, video_id=TEXT, question=TEXT, choices=T.ArrayType(TEXT), options=T.ArrayType(TEXT), right_answer=TEXT, answer=TEXT)
     schema = T.StructType([*item.fields, *[T.StructField(n, T.ArrayType(item)) for n in ("data", "questions")]])
-    rows = read_json_array(spark, path, schema).select("pos", F.posexplode(F.coalesce("data", "questions", F.array(F.struct(*item.names)))).alias("inner", "i")).select((F.col("pos") * 1_000_000 + F.col("inner")).alias("pos"), "i.*")
+    rows = read_json_array(spark, path, schema).select("pos", F.posexplode(F.coalesce("data", "questions", F.array(F.struct(*item.names)))).alias("inner", "i"))
+    rows = running_offset(rows.select("pos", "inner", "i.*"), None, "pos", "inner").withColumn("pos", F.col("index")).drop("inner", "index")
     candidates, video = F.coalesce("choices", "options"), F.coalesce("video_uid", "video_id")
     kept = where_file_exists(rows, spark, os.path.join(folder, "videos"), F.concat(video, F.lit(".mp4")))
     vpath = at(folder, "videos", F.concat(video, F.lit(".mp4")))
