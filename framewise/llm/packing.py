@@ -171,7 +171,8 @@ def best_fit_rounds(sizes: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """
     spark = sizes.sparkSession
     part_of = F.col("capacity") / F.col("size")
-    wave = F.when(part_of < 8, F.floor(F.log(part_of) / F.log(F.lit(RATIO)))).otherwise(F.lit(100) + F.floor(F.log(part_of / 8) / F.log(F.lit(LOW_RATIO)))).cast("int")
+    # No two sizes above half the capacity fit together, nor into gaps of such: one span, whatever its width.
+    wave = F.when(part_of < 2, 0).when(part_of < 8, F.floor(F.log(part_of) / F.log(F.lit(RATIO)))).otherwise(F.lit(100) + F.floor(F.log(part_of / 8) / F.log(F.lit(LOW_RATIO)))).cast("int")
     runs = cut(sizes.withColumn("wave", wave))
     spans: dict[int, list] = defaultdict(list)
     for r in runs.groupBy("wave", "plan_id", "capacity").agg(F.min("size").alias("lo"), F.max("size").alias("hi")).collect():
