@@ -1,15 +1,16 @@
 """Most similar vectors for every vector, by multi-index hashing.
 
 Every distinct vector gets ``CODE_BITS`` sign bits under rotations learned on a bounded sample (iterative quantisation).
-``TABLES`` substrings of the code, each about log2(n) bits long, are indexed; a substring's bucket and all buckets within
-``RADIUS`` bits of it are probed.  By the pigeonhole rule that retrieves every pair of codes whose substrings' bits differ
-in at most ``TABLES * (RADIUS + 1) - 1`` places together, and most pairs beyond.  Pairs whose whole codes are close are
+Substrings of the code (``TABLES`` or more, each a table) are indexed; the vectors of a substring's bucket are compared
+with each other and with those of all buckets within ``RADIUS`` bits of it.  Pairs whose whole codes are close are
 reranked by their floats.  How close, and how many tables it takes, follows from the least similarity asked for
 (:func:`plan_search`); where too many would be needed, the exact way compares all vectors block by block.
 
-Tables are cut into blocks by the leading bits of the substring once they exceed ``BLOCK_ROWS`` vectors; a vector is then
-sent to the blocks its probes reach, so a task holds one block whatever the collection's size.  No bucket is capped:
-vectors of a bucket above ``CROWD`` are compared by floats in blocks, which never puts out all pairs of a dense group.
+Tables are cut into blocks by the leading bits of the substring once they exceed ``BLOCK_ROWS`` vectors.  A vector goes to
+one block of each table, so a task holds one block and the rows sent are a table's vectors whatever the collection's size;
+that the leading bits must then be equal is made up for by more tables, ``TABLES`` of them in one shuffle.  No bucket is
+capped: vectors with more than ``CROWD`` near ones in their bucket are compared by floats in blocks, which never puts out
+all pairs of a dense group.
 
 Vectors that are null, of another length, NaN-bearing or all zero have no similarity.  Exact copies are searched once:
 the neighbours of a copy are those of its group, of which the smallest ids count first, so groups of any size cost a
@@ -20,8 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
-from math import ceil, comb, log, sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewise.llm.common import cut, stored, vectors
+from framewise.llm.common import cut, release, stored, vectors
 
 CODE_BITS = 128
 TABLES = 5
 RADIUS = 2
-#: Vectors one task indexes.
-BLOCK_ROWS = 1 << 20
+#: Vectors one task indexes, and about how many in a bucket.
+BLOCK_ROWS, BUCKET_ROWS = 1 << 20, 8
 #: Vectors the rotations are learned on.
 SAMPLE = 6_000
 #: Share of the pairs of the least similarity that the tables must be expected to retrieve, and the most tables for that.
-EXPECTED, MOST_TABLES = 0.98, 48
+EXPECTED, MOST_TABLES = 0.99, 192
 #: Codes are near if they are at most the mean and so many deviations apart for the least similarity: whole, first half.
 SLACK, HALF_SLACK = 3.75, 5.0
 #: Bits of the filter that keeps the floats of candidates: so many times their ids, within bounds (8 MB are broadcast at
@@ -48,7 +50,7 @@ SLACK, HALF_SLACK = 3.75, 5.0
 FILTER_SHARE, LEAST_FILTER, MOST_FILTER = 8, 1 << 20, 1 << 26
 #: Vectors in each of the two blocks that a task of the exact way compares.
 EXACT_ROWS = 20_000
-#: Vectors with one substring that are compared in their bucket; those of a larger one go the exact way among themselves,
+#: Near codes in its bucket up to which a vector is paired with them; vectors with more go the exact way among themselves,
 #: which keeps the best of each and not every pair.
 CROWD = 2_000
 #: Odd factor below 2^31 that spreads 32 bits over the filter without overflow.
@@ -100,7 +102,7 @@ def coder(centre: np.ndarray, turn: np.ndarray):
 @dataclass(frozen=True)
 class Search:
     """Bits of a substring and of the block number in it, tables, the most bits near codes differ in (whole, first half), and
-    the largest bucket that is compared."""
+    the most near codes in its bucket that a vector is paired with."""
 
     bits: int
     block_bits: int
@@ -113,17 +115,35 @@ class Search:
 def plan_search(n: int, least: float) -> Search:
     """How to search ``n`` codes for pairs of at least this cosine.
 
-    The bits of two codes differ with a chance of angle / pi.  A table retrieves a pair if its substrings differ in
-    ``RADIUS`` bits at most, so the chance of all tables missing it tells how many are needed.
+    The bits of two codes differ with a chance of angle / pi.  A table retrieves a pair if the block bits of its substrings
+    are equal and the others differ in ``RADIUS`` bits at most, so the chance of all tables missing it tells how many are
+    needed.
     """
-    bits = min(30, max(10, int(np.ceil(np.log2(max(n, 2))))))
+    block_bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS))))
+    inner = max(1, round(float(np.log2(max(1, (n >> block_bits) / BUCKET_ROWS)))))
     p = float(np.arccos(np.clip(least, -1.0, 1.0)) / np.pi)
-    found = sum(comb(bits, r) * p**r * (1 - p) ** (bits - r) for r in range(RADIUS + 1))
-    tables = TABLES if found >= 1 else max(TABLES, ceil(log(1 - EXPECTED) / log(1 - found))) if found > 0 else MOST_TABLES + 1
-    if tables > MOST_TABLES:
-        raise ValueError(f"{tables} tables would be needed for a similarity of {least}; use exact=True")
+    tables = next((t for t in range(TABLES, MOST_TABLES + 1) if retrieved(p, block_bits, inner, t) >= EXPECTED), None)
+    if tables is None:
+        raise ValueError(f"more than {MOST_TABLES} tables would be needed for a similarity of {least}; use exact=True")
     far = lambda size, slack: int(size * p + slack * sqrt(size * p * (1 - p)))
-    return Search(bits, max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS)))), tables, far(CODE_BITS, SLACK), far(CODE_BITS // 2, HALF_SLACK), CROWD)
+    return Search(block_bits + inner, block_bits, tables, far(CODE_BITS, SLACK), far(CODE_BITS // 2, HALF_SLACK), CROWD)
+
+
+def retrieved(p: float, block_bits: int, inner: int, tables: int) -> float:
+    """Share of the pairs whose bits differ with chance ``p`` that the tables retrieve.
+
+    Tables that read bits of their own miss a pair independently.  Once bits are used again they do so only given how many
+    bits of the whole code differ.
+    """
+    bits = block_bits + inner
+    if bits * tables <= CODE_BITS:
+        one = (1 - p) ** block_bits * sum(comb(inner, r) * p**r * (1 - p) ** (inner - r) for r in range(RADIUS + 1))
+        return 1 - (1 - min(one, 1.0)) ** tables
+    share = 0.0
+    for d in range(CODE_BITS + 1):
+        one = sum(comb(inner, r) * comb(CODE_BITS - bits, d - r) for r in range(min(RADIUS, d) + 1)) / comb(CODE_BITS, d)
+        share += comb(CODE_BITS, d) * p**d * (1 - p) ** (CODE_BITS - d) * (1 - (1 - one) ** tables)
+    return share
 
 
 def substring_bits(bits: int, tables: int) -> list[np.ndarray]:
@@ -158,73 +178,94 @@ def masks(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(most + 1) for c in combinations(range(bits), r)]
 
 
-def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int, at_home: np.ndarray, radius: np.ndarray, search: Search, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a block whose keys are within the radius and whose whole codes are near; a crowded row is paired with itself.
-
-    Rows ``at_home`` are indexed and probe each other once; the others only probe, with the radius their block leaves.
-    Crowded rows are not paired with each other.
-    """
+def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int, at_home: np.ndarray, radius: np.ndarray | int, search: Search, chunk: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows ``at_home`` whose keys are within the radius and whose whole codes are near; a crowded row, one with
+    more than ``search.crowd`` near rows in its bucket, is paired with itself and with no other crowded row."""
     home = np.flatnonzero(at_home)
     order = home[np.argsort(key[home], kind="stable")]
-    sorted_key = key[order].astype(np.int32)
-    offset = np.zeros((1 << bits) + 1, dtype=np.int32)
-    np.cumsum(np.bincount(sorted_key, minlength=1 << bits), out=offset[1:])
-    own = [np.ascontiguousarray(codes[order, h]) for h in range(2)]
-    visitors = np.flatnonzero(~at_home)
-
-    def compare(probing: list[np.ndarray], probing_ids: np.ndarray, first: np.ndarray, last: np.ndarray):
-        count = last - first
-        some = np.flatnonzero(count > 0).astype(np.int32)
-        first, count = first[some], count[some]
-        total = np.cumsum(count, dtype=np.int64)
-        begin = 0
-        while begin < len(some):
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + chunk, side="right")))
-            n = count[begin:end]
-            left = np.repeat(some[begin:end], n)
-            shift = first[begin:end] - (np.cumsum(n, dtype=np.int32) - n)
-            right = np.repeat(shift, n)
-            right += np.arange(len(right), dtype=np.int32)
-            # The first half alone drops nearly all.
-            half = np.bitwise_count(probing[0][left] ^ own[0][right])
-            close = np.flatnonzero(half <= search.near_half)
-            left, right = left[close], right[close]
-            near = np.flatnonzero(half[close] + np.bitwise_count(probing[1][left] ^ own[1][right]) <= search.near)
-            if len(near):
-                yield probing_ids[left[near]], ids[order[right[near]]]
-            begin = end
-
-    own_ids = ids[order]
-    place = np.arange(len(order), dtype=np.int32)
-    crowded = np.diff(offset)[sorted_key] > search.crowd
+    offset = np.zeros((1 << bits) + 1, dtype=np.int64)
+    np.cumsum(np.bincount(key[order], minlength=1 << bits), out=offset[1:])
+    first, second, own_ids = np.ascontiguousarray(codes[order, 0]), np.ascontiguousarray(codes[order, 1]), ids[order]
+    size = np.diff(offset)
+    crowded = np.zeros(len(order), dtype=bool)
+    differ, count, close = np.empty(chunk, dtype=np.uint64), np.empty(chunk, dtype=np.uint8), np.empty(chunk, dtype=bool)
+
+    def hits(jobs: list[tuple[int, int, int, int]], used: int, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Near rows among the first ``used`` places of the buffer."""
+        np.bitwise_count(differ[:used], out=count[:used])
+        words = -(-used // 8)
+        count[used : 8 * words] = 255
+        # The first half alone drops nearly all; eight places are looked at together.
+        np.less_equal(count[: 8 * words], search.near_half, out=close[: 8 * words])
+        at = (np.flatnonzero(close[: 8 * words].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        at = at[close[at]]
+        begin, row, column, width = np.array(jobs, dtype=np.int64).T
+        job = np.searchsorted(begin, at, side="right") - 1
+        down, along = np.divmod(at - begin[job], width[job])
+        u, v = row[job] + down, right[column[job] + along]
+        both = np.flatnonzero(count[at] + np.bitwise_count(second[u] ^ second[v]) <= search.near)
+        if len(both):
+            yield u[both], v[both]
+
+    def near(buckets: np.ndarray, right: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Near rows among those of each bucket and its part of ``right``, which are up to ``ends``."""
+        halves = first[right]
+        jobs, used, start = [], 0, 0
+        for top, bottom, end in zip(offset[buckets].tolist(), offset[buckets + 1].tolist(), ends.tolist()):
+            for column in range(start, end, chunk):
+                half = halves[column : min(end, column + chunk)]
+                step = chunk // len(half)
+                for row in range(top, bottom, step):
+                    left = first[row : min(bottom, row + step)]
+                    n = len(left) * len(half)
+                    if used + n > chunk:
+                        yield from hits(jobs, used, right)
+                        jobs, used = [], 0
+                    np.bitwise_xor(left[:, None], half, out=differ[used : used + n].reshape(len(left), len(half)))
+                    jobs.append((used, row, column, len(half)))
+                    used += n
+            start = end
+        if used:
+            yield from hits(jobs, used, right)
+
+    for bucket in np.flatnonzero(size > search.crowd):
+        begin, end = int(offset[bucket]), int(offset[bucket + 1])
+        others = np.zeros(end - begin, dtype=np.int64)
+        for u, v in near(np.array([bucket]), np.arange(begin, end), np.array([end - begin])):
+            others += np.bincount(u[u != v] - begin, minlength=len(others))
+        crowded[begin:end] = others > search.crowd
     if crowded.any():
         yield own_ids[crowded], own_ids[crowded]
-    for mask in masks(bits, RADIUS):
-        if mask == 0:
-            yield from compare(own, own_ids, place + 1, np.where(crowded, place + 1, offset[sorted_key + 1]))
-        else:
-            lower = np.flatnonzero((sorted_key & (1 << (mask.bit_length() - 1))) == 0)
-            other = sorted_key[lower] ^ mask
-            if crowded.any():
-                alone = ~(crowded[lower] & (offset[other + 1] - offset[other] > search.crowd))
-                lower, other = lower[alone], other[alone]
-            yield from compare([o[lower] for o in own], own_ids[lower], offset[other], offset[other + 1])
-    for left in range(RADIUS):
-        guests = visitors[radius[visitors] == left]
-        if len(guests):
-            guest_codes, guest_key = [np.ascontiguousarray(codes[guests, h]) for h in range(2)], key[guests]
-            for mask in masks(bits, left):
-                other = guest_key ^ mask
-                yield from compare(guest_codes, ids[guests], offset[other], offset[other + 1])
+    # Every bucket meets itself and those of larger number in reach, as many buckets at once as meet about two chunks of rows.
+    buckets = np.flatnonzero(size)
+    reach = np.array(masks(bits, int(np.max(radius, initial=0))), dtype=np.int64)
+    met = np.zeros(len(buckets), dtype=np.int64)
+    for mask in reach:
+        there = buckets ^ mask
+        met += np.where(there >= buckets, size[there], 0)
+    total, begin = np.cumsum(met), 0
+    while begin < len(buckets):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + 2 * chunk, side="right")))
+        some = buckets[begin:end, None]
+        there = some ^ reach
+        there = there[there >= some]
+        n = size[there]
+        right = np.repeat(offset[there] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for u, v in near(buckets[begin:end], right, total[begin:end] - done):
+            once = (u < v) & ~(crowded[u] & crowded[v])
+            if once.any():
+                yield own_ids[u[once]], own_ids[v[once]]
+        begin = end
 
 
 PAIRS = "u long, v long"
 
 
-def block_search(search: Search):
-    """Search every (table, block) that a partition holds."""
-    bits, block_bits = search.bits, search.block_bits
-    places = substring_bits(bits, search.tables)
+def block_search(search: Search, begin: int):
+    """Search every (table, block) that a partition holds; ``begin`` is the first table sent."""
+    inner = search.bits - search.block_bits
+    places = substring_bits(search.bits, search.tables)[begin:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -233,32 +274,46 @@ def block_search(search: Search):
         block = pa.Table.from_batches(held)
         held.clear()
         task = block["task"].to_numpy()
-        ids, radius = block["vec_id"].to_numpy(), block["radius"].to_numpy()
+        ids = block["vec_id"].to_numpy()
         codes = np.stack([block["c1"].to_numpy(), block["c2"].to_numpy()], axis=1).view(np.uint64)
         for one in np.unique(task):
-            here = np.flatnonzero(task == one)
-            key = read_key(codes[here], places[int(one) >> block_bits]) & ((1 << (bits - block_bits)) - 1)
-            found = [(np.minimum(x, y), np.maximum(x, y)) for x, y in close_pairs(ids[here], codes[here], key, bits - block_bits, radius[here] == RADIUS, radius[here], search)]
+            key = read_key(codes, places[int(one) >> search.block_bits][:inner])
+            found, rows = [], 0
+            for x, y in close_pairs(ids, codes, key, inner, task == one, RADIUS, search):
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+                rows += len(x)
+                if rows >= 1 << 20:
+                    yield pairs_batch(found)
+                    found, rows = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["u", "v"])
+                yield pairs_batch(found)
 
     return run
 
 
+def pairs_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], names=["u", "v"])
+
+
 def candidate_pairs(codes: DataFrame, search: Search) -> DataFrame:
-    """Distinct pairs u < v of ``codes`` (vec_id, c1, c2) that the tables retrieve, near by whole code; u = v marks crowded ones."""
-    bits, block_bits, tables = search.bits, search.block_bits, search.tables
-    places = substring_bits(bits, tables)
-    inner = bits - block_bits
-    routes = []
-    for t in range(tables):
-        home = F.shiftright(substring_key(F.col("c1"), F.col("c2"), places[t]), inner).cast("int") if block_bits else F.lit(0)
-        for mask in masks(block_bits, RADIUS) if block_bits else [0]:
-            there = home.bitwiseXOR(F.lit(mask))
-            left = RADIUS - mask.bit_count()
-            routes.append(F.when(there >= home, F.struct((F.lit(t << block_bits) + there).alias("task"), F.lit(left).alias("radius"))))
-    sent = codes.select("vec_id", "c1", "c2", F.explode(F.array_compact(F.array(*routes))).alias("r")).select("vec_id", "c1", "c2", "r.task", "r.radius")
-    return sent.repartitionById(tables << block_bits, F.col("task")).mapInArrow(block_search(search), PAIRS).distinct()
+    """Distinct pairs u < v of ``codes`` (vec_id, c1, c2) that the tables retrieve, near by whole code; u = v marks crowded ones.
+
+    ``TABLES`` at most are shuffled at once, and their shuffle is released before the next, so the disk it takes doesn't grow with them.
+    """
+    places = substring_bits(search.bits, search.tables)
+    inner = search.bits - search.block_bits
+    parts, step = [], -(-search.tables // -(-search.tables // TABLES))
+    for begin in range(0, search.tables, step):
+        some = places[begin : begin + step]
+        blocks = [F.lit(t << search.block_bits) + substring_key(F.col("c1"), F.col("c2"), p[inner:]).cast("int") for t, p in enumerate(some)]
+        sent = codes.select("vec_id", "c1", "c2", F.explode(F.array(*blocks)).alias("task"))
+        pairs = sent.repartitionById(len(some) << search.block_bits, F.col("task")).mapInArrow(block_search(search, begin), PAIRS).distinct()
+        if search.tables <= TABLES:
+            return pairs
+        parts.append(stored(pairs))
+        del sent, pairs
+        release(codes.sparkSession)
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def exact_pairs(items: DataFrame, reps: DataFrame, n: int, k: int, least: float, dim: int) -> DataFrame:
@@ -413,9 +468,12 @@ def similar_pairs(items: DataFrame, k: int = 5, least: float = 0.93, dim: int =
     # A distinct vector's list holds for every copy of it; each leaves itself out and takes k.
     owners = lists.join(copies.select(F.col("rep").alias("x"), F.col("member").alias("owner"), "nth"), "x", "left")
     chosen = owners.select(F.coalesce("owner", "x").alias("x"), "y", "sim", "place").where("x <> y")
-    if any_crowded:
-        rest = seen.where("h1 is not null").select("id", "h1", "h2").join(crowded, ["h1", "h2"]).where("id > sixth").select("x", F.col("id").alias("owner"))
-        chosen = chosen.unionByName(lists.join(rest, "x").select(F.col("owner").alias("x"), "y", "sim", "place").where("x <> y"))
     final = W.partitionBy("x").orderBy("place")
     taken = chosen.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return taken.select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "sim").distinct()
+    pair = [F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "sim"]
+    result = taken.select(*pair).distinct()
+    if any_crowded:
+        # The copies beyond the k + 1 smallest are in no list: theirs holds as it is, and nothing else gives their pairs.
+        rest = seen.where("h1 is not null").select("id", "h1", "h2").join(crowded, ["h1", "h2"]).where("id > sixth").select("x", F.col("id").alias("owner"))
+        result = result.unionByName(lists.where(F.col("place") <= k).join(rest, "x").select(F.col("owner").alias("x"), "y", "sim").select(*pair))
+    return result

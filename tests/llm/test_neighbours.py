@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from framewise.llm import neighbours
 
@@ -91,6 +93,26 @@ def test_blocks_find_what_one_table_finds(spark, monkeypatch):
     assert {(r.vec_a, r.vec_b) for r in neighbours.similar_pairs(frame(spark, ids, matrix)).collect()} == whole
 
 
+def test_a_vector_goes_to_one_block_of_each_table(spark, monkeypatch):
+    def sent(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("task").cast("int64")], names=["u", "v"])
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "block_search", lambda *_: sent)
+    search = neighbours.plan_search(4096, 0.98)
+    codes = spark.range(4096).select(F.col("id").alias("vec_id"), F.xxhash64("id").alias("c1"), F.xxhash64("id", F.lit(1)).alias("c2"))
+    assert (search.block_bits, search.tables) == (6, 5)
+    assert neighbours.candidate_pairs(codes, search).count() == 4096 * 5
+
+
+def test_copies_beyond_the_listed_ones(spark):
+    matrix = np.concatenate([np.repeat(np.random.default_rng(3).normal(size=(2, 64)), [20, 7], axis=0), collection(seed=5)])
+    ids = np.random.default_rng(4).permutation(len(matrix))
+    got = [(r.vec_a, r.vec_b) for r in neighbours.similar_pairs(frame(spark, ids, matrix.astype(np.float32))).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(ids, matrix.astype(np.float32).astype(float), 5, 0.93)
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.similar_pairs(empty).collect() == []
