@@ -37,7 +37,7 @@ from framewise.llm.common import cut, release, stored, vectors
 CODE_BITS = 128
 TABLES = 5
 RADIUS = 2
-#: Vectors one task indexes, and about how many in a bucket.
+#: Vectors one task indexes, and the least in a bucket on average.
 BLOCK_ROWS, BUCKET_ROWS = 1 << 20, 8
 #: Vectors the rotations are learned on.
 SAMPLE = 6_000
@@ -120,7 +120,7 @@ def plan_search(n: int, least: float) -> Search:
     needed.
     """
     block_bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK_ROWS))))
-    inner = max(1, round(float(np.log2(max(1, (n >> block_bits) / BUCKET_ROWS)))))
+    inner = max(1, int(np.log2(max(1, (n >> block_bits) / BUCKET_ROWS))))
     p = float(np.arccos(np.clip(least, -1.0, 1.0)) / np.pi)
     tables = next((t for t in range(TABLES, MOST_TABLES + 1) if retrieved(p, block_bits, inner, t) >= EXPECTED), None)
     if tables is None:
@@ -193,12 +193,8 @@ def close_pairs(ids: np.ndarray, codes: np.ndarray, key: np.ndarray, bits: int,
     def hits(jobs: list[tuple[int, int, int, int]], used: int, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Near rows among the first ``used`` places of the buffer."""
         np.bitwise_count(differ[:used], out=count[:used])
-        words = -(-used // 8)
-        count[used : 8 * words] = 255
-        # The first half alone drops nearly all; eight places are looked at together.
-        np.less_equal(count[: 8 * words], search.near_half, out=close[: 8 * words])
-        at = (np.flatnonzero(close[: 8 * words].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
-        at = at[close[at]]
+        # The first half alone drops nearly all.
+        at = np.flatnonzero(np.less_equal(count[:used], search.near_half, out=close[:used]))
         begin, row, column, width = np.array(jobs, dtype=np.int64).T
         job = np.searchsorted(begin, at, side="right") - 1
         down, along = np.divmod(at - begin[job], width[job])
